@@ -20,6 +20,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,10 @@ DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 END_ID = 2
 #: Bytes of a shard, and ids of a block, to aim for. A longer document is a block of its own.
 SHARD_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
-#: Words whose ids a worker remembers.
-MEMORY = 400_000
+#: Words whose ids a worker remembers, in each of two generations, before which it forgets the older.
+MEMORY = 500_000
+#: Bytes of text encoded at a time; a longer text goes alone.
+SLICE_BYTES = 16 << 20
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 _MASKS = np.arange(4)[None, :] < np.arange(5)[:, None]
@@ -84,58 +88,116 @@ def read_blocks(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at += 1
 
 
-#: A space between two characters that are no white space begins a piece that the tokenizer treats on its own.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_TIGHT = re.compile(r"\s\s|^\s|\s$|[^\S ]")
+#: Texts that go through the whole tokenizer: any white space but single spaces and line feeds between words, or one of the three
+#: control characters used as marks below.
+_SPACES = r"\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = rf"[{_SPACES}\x02\x03]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+_FIRST, _END = "\x02", "\x03"
+#: Byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_PLAIN))}
+#: Pieces of an ASCII word, as the byte-level splitter cuts them.
+_PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+")
 
 
 class Encoder:
-    """Ids of whole texts, the tokenizer being asked once for each piece that begins at such a space."""
+    """Ids of whole texts, the tokenizer being asked once for each word it has not met of late.
 
-    def __init__(self, path: str) -> None:
+    Byte-level BPE splits a text first (a word takes the space before it along; a run of punctuation and a single line feed
+    are pieces of their own) and encodes each piece by itself. So where white space comes singly, a text is its words, each with the
+    space or line feed before it. ASCII words and words of letters go to the tokenizer's model piece by piece; others, and texts
+    with other white space, go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        odd = set(whole)
-        cut = [[] if i in odd else self._pieces(t) for i, t in enumerate(texts)]
-        known = self.known
-        new = list({p for ps in cut for p in ps if p not in known})
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = list({p for ps in cut for p in ps})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        out = [b"".join([known[p] for p in ps]) for ps in cut]
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.line = self.whole("\n")
+        self.short: dict[str, list[int]] = {}
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word behind a space; behind a line feed or the first mark, without one."""
+        mark = word[:1]
+        if mark == _END:
+            return self.end
+        if mark == _FIRST:
+            text, before = word[1:], b""
+        elif mark == "\n":
+            text, before = word[1:], self.line
+        else:
+            text, before = " " + word, b""
+        if text.isascii():
+            ids = [i for p in _PIECE.findall(text) for i in self._piece(p)] if text.isprintable() else None
+        elif text.lstrip(" ").isalpha():
+            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTE))]
+        else:
+            ids = None
+        return before + (self.whole(text) if ids is None else struct.pack(f"<{len(ids)}I", *ids))
+
+    def _piece(self, piece: str) -> list[int]:
+        if len(piece) > 3:
+            return [t.id for t in self.model.tokenize("Ġ" + piece[1:] if piece[0] == " " else piece)]
+        if piece not in self.short:  # of three ASCII characters at most, so there are few
+            self.short[piece] = [t.id for t in self.model.tokenize("Ġ" + piece[1:] if piece[0] == " " else piece)]
+        return self.short[piece]
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each followed by the end id; where each text ends), for texts that _ODD does not match."""
+        marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts, "\n", " \n"), f" {_END}", "")
+        lists = pc.split_pattern(marked, " ")
+        coded = lists.flatten().dictionary_encode()
+        now, old, found = self.now, self.old, []
+        for w in coded.dictionary.to_numpy(zero_copy_only=False):
+            ids = now.get(w)
+            if ids is None:
+                ids = now[w] = old.get(w) or self._word(w)
+            found.append(ids)
+        if len(now) > MEMORY:
+            self.now, self.old = {}, now
+        codes = coded.indices.to_numpy()
+        size = np.array([len(x) for x in found], dtype=np.int64) // 4
+        start = np.cumsum(size) - size
+        each = size[codes]
+        ends = np.cumsum(each)
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(start[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, ends[np.cumsum(pc.list_value_length(lists).to_numpy()) - 1]
+
+    def batch(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """[(which rows, their ids in a row, their ends)] of non-null strings."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out = []
+        if not odd.all():
+            some = np.flatnonzero(~odd)
+            out.append((some, *self.texts(texts.take(pa.array(some)))))
+        if odd.any():
+            some = np.flatnonzero(odd)
+            got = [self.whole(t) + self.end for t in texts.take(pa.array(some)).to_pylist()]
+            out.append((some, np.frombuffer(b"".join(got), dtype="<u4"), np.cumsum([len(g) // 4 for g in got])))
         return out
 
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if not text:
-            return []
-        parts = _CUT.split(text)
-        return parts[:1] + [" " + p for p in parts[1:]]
-
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
+def encoder(path: str, end_id: int = END_ID) -> Encoder:
+    if (path, end_id) not in _encoders:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def default_tokenizer() -> str:
@@ -151,27 +213,33 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
     """
     spark = docs.sparkSession
 
-    def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(tokenizer()), np.array([end_id], dtype="<u4").tobytes()
-        for df in batches:
-            at, texts = 0, ["" if t is None else t for t in df["text"]]
+    from tokenizers import Tokenizer
+
+    width = 2 if max(Tokenizer.from_file(tokenizer()).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer(), end_id)
+        for batch in batches:
+            texts = pc.fill_null(batch.column(1), "").cast(pa.string())
+            bytes_to = np.cumsum(pc.binary_length(texts).to_numpy())
+            at = 0
             while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < 4 << 20):
-                    size += len(texts[to])
-                    to += 1
-                rows = [np.frombuffer(x + end, dtype="<u4") for x in enc.batch(texts[at:to])]
-                yield pd.DataFrame({"doc_id": df["doc_id"].iloc[at:to].to_numpy(), "ids": [r.astype("<u2").tobytes() if not len(r) or r.max() < 1 << 16 else b"\0" + r.tobytes() for r in rows]})
+                to = max(at + 1, int(np.searchsorted(bytes_to, (bytes_to[at - 1] if at else 0) + SLICE_BYTES, "right")))
+                for which, ids, ends in enc.batch(texts.slice(at, to - at)):
+                    offsets = np.concatenate([[0], ends * width]).astype("<i4")
+                    packed = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).take(pa.array(which)), packed], ["doc_id", "ids"])
                 at = to
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = stored(rows.mapInPandas(ids_of, "doc_id string, ids binary"), "token-ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = stored(rows.mapInArrow(ids_of, "doc_id long, ids binary"), "token-ids")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(0, dtype=np.int64)
         for df in batches:
-            for raw in df["ids"]:
-                c = np.bincount(_ids(raw))
+            ids = [np.frombuffer(raw, dtype=f"<u{width}").astype("<u4") for raw in df["ids"]]
+            for at in range(0, len(ids), 256):
+                c = np.bincount(np.concatenate(ids[at : at + 256]))
                 seen, c = (seen, c) if len(seen) >= len(c) else (c, seen)
                 seen[: len(c)] += c
         at = np.flatnonzero(seen)
@@ -189,13 +257,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
         for df in batches:
             rows = []
             for raw in df["ids"]:
-                ids = _ids(raw)
+                ids = np.frombuffer(raw, dtype=f"<u{width}").astype("<u4")
                 control, data = encode(sent.value[ids])
                 rows.append((len(ids), control + data, zlib.crc32(ids.tobytes())))
             n, packed, crc = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": df["doc_id"], "n": n, "packed": packed, "crc": crc})
+            yield pd.DataFrame({"doc_id": df["doc_id"].astype("Int64"), "n": n, "packed": packed, "crc": crc})
 
-    packed = held.mapInPandas(pack, "doc_id string, n long, packed binary, crc long").select(F.col("doc_id").cast("long").alias("doc_id"), "n", "packed", "crc")
+    packed = held.mapInPandas(pack, "doc_id long, n long, packed binary, crc long")
     shards = partitions((held.agg(F.sum(F.length("ids"))).first()[0] or 0) * 3 // 4, SHARD_BYTES)
     ordered = packed.repartitionByRange(shards, "doc_id", "n", "crc").sortWithinPartitions("doc_id", "n", "crc", "packed")
 
@@ -219,11 +287,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
     discard(held)
 
 
-def _ids(raw: bytes) -> np.ndarray:
-    """Stored ids: two bytes each, or a zero byte and four bytes each."""
-    return np.frombuffer(raw, dtype="<u4", offset=1) if len(raw) % 2 else np.frombuffer(raw, dtype="<u2").astype("<u4")
-
-
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids, array<long>) of every document under path, from its files alone."""
     order = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()["id"].to_numpy(dtype="<u4")
