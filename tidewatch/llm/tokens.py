@@ -4,7 +4,7 @@ A shard file is a run of blocks, each followed by one line feed. A block:
 
     magic "TWT1", u32 documents, u64 ids, u64 control bytes, u64 data bytes
     documents x (i64 doc_id, u8 is null, u64 ids)
-    control bytes: two bits an id, four ids a byte, low bits first: bytes of the id's rank, less one
+    control bytes: two bits an id, four ids a byte, low bits first: bytes of the id's rank, less one; each document begins a byte
     data bytes: the rank of each id, little-endian, in one to four bytes
 
 Ranks run from the most frequent id of the whole corpus down, so frequent ids take one byte. `ranks` beside the shards holds
@@ -42,33 +42,42 @@ _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(2
 _MASKS = np.arange(4)[None, :] < np.arange(5)[:, None]
 
 
-def encode(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of unsigned 32-bit values."""
+def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Control bytes of each document, and the place of each id among the two-bit codes."""
+    four = -(-counts // 4)
+    ends = np.cumsum(counts)
+    return four, np.repeat((np.cumsum(four) - four) * 4 - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def encode(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """(control, data, control bytes of each document, data bytes of each) of unsigned 32-bit values, counts[i] of them in document i."""
     v = np.ascontiguousarray(values, dtype="<u4")
     size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    codes = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
-    codes[: len(v)] = size - 1
+    four, place = _padded(counts)
+    codes = np.zeros(int(four.sum()) * 4, dtype=np.uint8)
+    codes[place] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[_MASKS[size]].tobytes()
+    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    ends = np.cumsum(counts)
+    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[_MASKS[size]].tobytes(), four, total[ends] - total[ends - counts]
 
 
-def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n values again: lengths by table from the control bytes, then bytes to their places."""
-    size = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), dtype=np.uint8)
+def decode(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The values of all documents again: lengths by table from the control bytes, then bytes to their places."""
+    size = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[_padded(counts)[1]]
+    out = np.zeros((len(size), 4), dtype=np.uint8)
     out[_MASKS[size]] = np.frombuffer(data, dtype=np.uint8)
     return out.reshape(-1).view("<u4")
 
 
-def write_block(doc_ids: list[int | None], ranks: list[np.ndarray]) -> bytes:
+def write_block(doc_ids: list[int | None], counts: list[int], control: list[bytes], data: list[bytes]) -> bytes:
     index = np.zeros(len(doc_ids), dtype=DOC)
     index["doc_id"] = [0 if d is None else d for d in doc_ids]
     index["null"] = [d is None for d in doc_ids]
-    index["n"] = [len(r) for r in ranks]
-    every = np.concatenate([*ranks, np.zeros(0, dtype="<u4")])
-    control, data = encode(every)
-    return HEAD.pack(MAGIC, len(index), len(every), len(control), len(data)) + index.tobytes() + control + data
+    index["n"] = counts
+    c, d = b"".join(control), b"".join(data)
+    return HEAD.pack(MAGIC, len(index), sum(counts), len(c), len(d)) + index.tobytes() + c + d
 
 
 def read_blocks(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -81,7 +90,10 @@ def read_blocks(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at += HEAD.size
         index = np.frombuffer(raw, dtype=DOC, count=docs, offset=at)
         at += index.nbytes
-        yield index, decode(raw[at : at + c], raw[at + c : at + c + d], n)
+        ranks = decode(raw[at : at + c], raw[at + c : at + c + d], index["n"].astype(np.int64))
+        if len(ranks) != n:
+            raise ValueError(f"block of {len(ranks)} ids says {n}")
+        yield index, ranks
         at += c + d
         if raw[at : at + 1] != b"\n":
             raise ValueError(f"block does not end at byte {at}")
@@ -218,7 +230,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
     width = 2 if max(Tokenizer.from_file(tokenizer()).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer(), end_id)
+        enc, seen = encoder(tokenizer(), end_id), np.zeros(0, dtype="<i8")
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "").cast(pa.string())
             bytes_to = np.cumsum(pc.binary_length(texts).to_numpy())
@@ -226,27 +238,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
             while at < len(texts):
                 to = max(at + 1, int(np.searchsorted(bytes_to, (bytes_to[at - 1] if at else 0) + SLICE_BYTES, "right")))
                 for which, ids, ends in enc.batch(texts.slice(at, to - at)):
+                    c = np.bincount(ids)
+                    seen, c = (seen, c) if len(seen) >= len(c) else (c, seen)
+                    seen[: len(c)] += c
                     offsets = np.concatenate([[0], ends * width]).astype("<i4")
                     packed = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).take(pa.array(which)), packed], ["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).take(pa.array(which)), packed, pa.nulls(len(which), pa.binary())], ["doc_id", "ids", "counts"])
                 at = to
+        if len(seen):  # a last row holds how often each id occurs in the partition
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = stored(rows.mapInArrow(ids_of, "doc_id long, ids binary"), "token-ids")
+    held = stored(rows.mapInArrow(ids_of, "doc_id long, ids binary, counts binary"), "token-ids")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(0, dtype=np.int64)
         for df in batches:
-            ids = [np.frombuffer(raw, dtype=f"<u{width}").astype("<u4") for raw in df["ids"]]
-            for at in range(0, len(ids), 256):
-                c = np.bincount(np.concatenate(ids[at : at + 256]))
-                seen, c = (seen, c) if len(seen) >= len(c) else (c, seen)
-                seen[: len(c)] += c
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"id": at, "n": seen[at]})
+            for raw in df["counts"]:
+                seen = np.frombuffer(raw, dtype="<i8")
+                at = np.flatnonzero(seen)
+                yield pd.DataFrame({"id": at, "n": seen[at]})
 
     # As many rows as the vocabulary has ids.
-    counts = held.mapInPandas(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    counts = held.where("counts is not null").select("counts").mapInPandas(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
     order = counts["id"].to_numpy(dtype=np.int64)
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(order)), "id": order}), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(int(order.max()) + 1 if len(order) else 1, dtype="<u4")
@@ -255,35 +268,35 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            rows = []
-            for raw in df["ids"]:
-                ids = np.frombuffer(raw, dtype=f"<u{width}").astype("<u4")
-                control, data = encode(sent.value[ids])
-                rows.append((len(ids), control + data, zlib.crc32(ids.tobytes())))
-            n, packed, crc = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": df["doc_id"].astype("Int64"), "n": n, "packed": packed, "crc": crc})
-
-    packed = held.mapInPandas(pack, "doc_id long, n long, packed binary, crc long")
+            for at in range(0, len(df), 256):
+                raw = list(df["ids"].iloc[at : at + 256])
+                n = np.array([len(x) // width for x in raw], dtype=np.int64)
+                control, data, c, d = encode(sent.value[np.frombuffer(b"".join(raw), dtype=f"<u{width}")], n)
+                c, d = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(d)])
+                packed = [(control[c[k] : c[k + 1]], data[d[k] : d[k + 1]]) for k in range(len(raw))]
+                yield pd.DataFrame({"doc_id": df["doc_id"].iloc[at : at + 256].astype("Int64"), "n": n, "control": [x for x, _ in packed], "data": [x for _, x in packed]})
+
+    packed = held.where("ids is not null").select("doc_id", "ids").mapInPandas(pack, "doc_id long, n long, control binary, data binary")
     shards = partitions((held.agg(F.sum(F.length("ids"))).first()[0] or 0) * 3 // 4, SHARD_BYTES)
-    ordered = packed.repartitionByRange(shards, "doc_id", "n", "crc").sortWithinPartitions("doc_id", "n", "crc", "packed")
+    order_by = ["doc_id", "n", F.xxhash64("control", "data")]
+    ordered = packed.repartitionByRange(shards, *order_by).sortWithinPartitions(*order_by)
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list[int | None] = []
-        ranks: list[np.ndarray] = []
+        rows: list[tuple[int, bytes, bytes]] = []
         size = 0
         for df in batches:
-            for d, null, n, raw in zip(df["doc_id"].fillna(0).astype("int64"), df["doc_id"].isna(), df["n"], df["packed"], strict=True):
-                if ids and size + n > BLOCK_IDS:
-                    yield pd.DataFrame({"value": [write_block(ids, ranks)]})
-                    ids, ranks, size = [], [], 0
-                c = -(-n // 4)
+            for d, null, *row in zip(df["doc_id"].fillna(0).astype("int64"), df["doc_id"].isna(), df["n"], df["control"], df["data"], strict=True):
+                if ids and size + row[0] > BLOCK_IDS:
+                    yield pd.DataFrame({"value": [write_block(ids, *map(list, zip(*rows, strict=True)))]})
+                    ids, rows, size = [], [], 0
                 ids.append(None if null else int(d))
-                ranks.append(decode(raw[:c], raw[c:], n))
-                size += n
+                rows.append(tuple(row))
+                size += row[0]
         if ids:
-            yield pd.DataFrame({"value": [write_block(ids, ranks)]})
+            yield pd.DataFrame({"value": [write_block(ids, *map(list, zip(*rows, strict=True)))]})
 
-    ordered.select("doc_id", "n", "packed").mapInPandas(shard, "value binary").select(F.col("value").cast("string").alias("value")).write.text(f"{path}/shards", lineSep="\n")
+    ordered.mapInPandas(shard, "value binary").select(F.col("value").cast("string").alias("value")).write.text(f"{path}/shards", lineSep="\n")
     discard(held)
 
 
