@@ -1,15 +1,14 @@
-"""What the operators of this subpackage share: words, shared tables, size-checked joins."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Rows of a lookup table that may be broadcast; above it the join shuffles.
-BROADCAST_ROWS = 400_000
+from tidewatch.sources.shared import BROADCAST_ROWS, discard, new_path, partitions, shared_dir, small_side, stored
+
+__all__ = ["BROADCAST_ROWS", "NOT_WORD", "discard", "new_path", "partitions", "shared_dir", "small_side", "stored", "words"]
+
 #: Words are maximal runs of letters and digits, in lower case.
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -17,43 +16,3 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 def words(text: Column) -> Column:
     """array<string> of the words of a text; empty for null."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local one is set only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or None
-    if at is None:
-        at = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tidewatch/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: its lineage ends at files that outlive executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._tidewatch_path = path
-    return back
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table that stored() wrote, once nothing will read it again."""
-    path = df.__dict__.get("_tidewatch_path")
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, hinted for broadcast only when it has been counted and is within the limit."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
-def partitions(rows: int, per: int, least: int = 1) -> int:
-    return max(least, -(-rows // per))
