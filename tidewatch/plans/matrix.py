@@ -28,7 +28,7 @@ def with_velocity(df: DataFrame) -> DataFrame:
 def add_features(split: DataFrame, with_graph: bool = True, rulers_to: str | None = None) -> DataFrame:
     """split (with period) -> all features. rulers_to: a folder where the fitted tables are kept for new data."""
     train = split.where("period = 'train'")
-    codes = {k: stored(f.fit_codes(train, c), "codes") for k, c in f.CODED.items()}
+    codes = {k: stored(f.fit_codes(split, c), "codes") for k, c in f.CODED.items()}
     rulers = {"percentiles": stored(f.fit_percentiles(train), "percentiles"), "profiles": stored(f.fit_profiles(train), "profiles"), "pairs": stored(f.fit_pairs(train), "pairs")}
     df = f.border_flags(f.amount_flags(f.velocity(split)))
     df = f.apply_codes(df, codes)
