@@ -49,8 +49,8 @@ def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return four, np.repeat((np.cumsum(four) - four) * 4 - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def encode(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
-    """(control, data, control bytes of each document, data bytes of each) of unsigned 32-bit values, counts[i] of them in document i."""
+def encode(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """(control, data) of unsigned 32-bit values, counts[i] of them in document i."""
     v = np.ascontiguousarray(values, dtype="<u4")
     size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     four, place = _padded(counts)
@@ -58,9 +58,7 @@ def encode(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, np.nda
     codes[place] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    ends = np.cumsum(counts)
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[_MASKS[size]].tobytes(), four, total[ends] - total[ends - counts]
+    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[_MASKS[size]].tobytes()
 
 
 def decode(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
@@ -71,13 +69,12 @@ def decode(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u4")
 
 
-def write_block(doc_ids: list[int | None], counts: list[int], control: list[bytes], data: list[bytes]) -> bytes:
+def write_block(doc_ids: list[int | None], counts: np.ndarray, control: bytes, data: bytes) -> bytes:
     index = np.zeros(len(doc_ids), dtype=DOC)
     index["doc_id"] = [0 if d is None else d for d in doc_ids]
     index["null"] = [d is None for d in doc_ids]
     index["n"] = counts
-    c, d = b"".join(control), b"".join(data)
-    return HEAD.pack(MAGIC, len(index), sum(counts), len(c), len(d)) + index.tobytes() + c + d
+    return HEAD.pack(MAGIC, len(index), int(counts.sum()), len(control), len(data)) + index.tobytes() + control + data
 
 
 def read_blocks(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -266,36 +263,34 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
     rank[order] = np.arange(len(order))
     sent = spark.sparkContext.broadcast(rank)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for at in range(0, len(df), 256):
-                raw = list(df["ids"].iloc[at : at + 256])
-                n = np.array([len(x) // width for x in raw], dtype=np.int64)
-                control, data, c, d = encode(sent.value[np.frombuffer(b"".join(raw), dtype=f"<u{width}")], n)
-                c, d = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(d)])
-                packed = [(control[c[k] : c[k + 1]], data[d[k] : d[k + 1]]) for k in range(len(raw))]
-                yield pd.DataFrame({"doc_id": df["doc_id"].iloc[at : at + 256].astype("Int64"), "n": n, "control": [x for x, _ in packed], "data": [x for _, x in packed]})
-
-    packed = held.where("ids is not null").select("doc_id", "ids").mapInPandas(pack, "doc_id long, n long, control binary, data binary")
-    shards = partitions((held.agg(F.sum(F.length("ids"))).first()[0] or 0) * 3 // 4, SHARD_BYTES)
-    order_by = ["doc_id", "n", F.xxhash64("control", "data")]
-    ordered = packed.repartitionByRange(shards, *order_by).sortWithinPartitions(*order_by)
+    rows = held.where("ids is not null").select("doc_id", "ids")
+    shards = partitions((rows.agg(F.sum(F.length("ids"))).first()[0] or 0) * 3 // 4, SHARD_BYTES)
+    order_by = ["doc_id", F.length("ids"), F.xxhash64("ids")]
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list[int | None] = []
-        rows: list[tuple[int, bytes, bytes]] = []
+        held: list[bytes] = []
         size = 0
+
+        def block() -> pd.DataFrame:
+            counts = np.array([len(x) // width for x in held], dtype=np.int64)
+            control, data = encode(sent.value[np.frombuffer(b"".join(held), dtype=f"<u{width}")], counts)
+            return pd.DataFrame({"value": [write_block(ids, counts, control, data)]})
+
         for df in batches:
-            for d, null, *row in zip(df["doc_id"].fillna(0).astype("int64"), df["doc_id"].isna(), df["n"], df["control"], df["data"], strict=True):
-                if ids and size + row[0] > BLOCK_IDS:
-                    yield pd.DataFrame({"value": [write_block(ids, *map(list, zip(*rows, strict=True)))]})
-                    ids, rows, size = [], [], 0
+            for d, null, raw in zip(df["doc_id"].fillna(0).astype("int64"), df["doc_id"].isna(), df["ids"], strict=True):
+                n = len(raw) // width
+                if ids and size + n > BLOCK_IDS:
+                    yield block()
+                    ids, held, size = [], [], 0
                 ids.append(None if null else int(d))
-                rows.append(tuple(row))
-                size += row[0]
+                held.append(raw)
+                size += n
         if ids:
-            yield pd.DataFrame({"value": [write_block(ids, *map(list, zip(*rows, strict=True)))]})
+            yield block()
 
+    # The ids are dealt and sorted as they are; the sampling of the ranges then runs no Python.
+    ordered = rows.repartitionByRange(shards, *order_by).sortWithinPartitions(*order_by)
     ordered.mapInPandas(shard, "value binary").select(F.col("value").cast("string").alias("value")).write.text(f"{path}/shards", lineSep="\n")
     discard(held)
 
