@@ -34,9 +34,9 @@ END_ID = 2
 #: Bytes of a shard, and ids of a block, to aim for. A longer document is a block of its own.
 SHARD_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
 #: Words whose ids a worker remembers, in each of two generations, before which it forgets the older.
-MEMORY = 500_000
+MEMORY = 400_000
 #: Bytes of text encoded at a time; a longer text goes alone.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 _MASKS = np.arange(4)[None, :] < np.arange(5)[:, None]
