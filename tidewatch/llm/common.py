@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewatch.sources.shared import BROADCAST_ROWS, discard, new_path, partitions, shared_dir, small_side, stored
 
-__all__ = ["BROADCAST_ROWS", "NOT_WORD", "discard", "new_path", "partitions", "shared_dir", "small_side", "stored", "words"]
+__all__ = ["BROADCAST_ROWS", "NOT_WORD", "discard", "new_path", "partitions", "release", "shared_dir", "small_side", "stored", "words"]
 
 #: Words are maximal runs of letters and digits, in lower case.
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -16,3 +19,15 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 def words(text: Column) -> Column:
     """array<string> of the words of a text; empty for null."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), "")
+
+
+#: What operators keep in a Python worker between tasks; each frees it and says whether there was any.
+CACHES: list[Callable[[], bool]] = []
+
+
+def release() -> None:
+    """Spark hands a worker from one stage to the next: frees what other operators have kept in it."""
+    if any([free() for free in CACHES]):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, partitions, small_side, stored, words
+from tidewatch.llm.common import partitions, release, small_side, stored, words
 from tidewatch.operators.components import components
 
 SIZE = 5
@@ -102,6 +102,7 @@ def links_and_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0
     bands, rows = bands_for(threshold, recall)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         signer = Signer(bands, rows)
         for df in batches:
             out = []

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import release
+
 #: n-gram lengths and the number of buckets they are hashed to.
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -18,7 +20,7 @@ TRAIN_DOCS = 3000
 #: At most this many languages are learned; each needs 2^BITS doubles in the broadcast matrix.
 LANGS = 200
 #: Characters scored at a time; longer texts go in slices that overlap, so no n-gram is lost.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def grams(codes: np.ndarray) -> Iterator[np.ndarray]:
@@ -97,8 +99,9 @@ class Model:
         starts = ends - [len(f) for f in folded]
         for n, g in zip(ORDERS, grams(codes), strict=False):
             run = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(self.logp[g], axis=0)])
-            last = np.maximum(starts, np.minimum(ends - n + 1, len(g)))  # n-grams that cross into the next document are left out
-            out += run[last] - run[starts]
+            first = np.minimum(starts, len(g))
+            last = np.maximum(first, np.minimum(ends - n + 1, len(g)))  # n-grams that cross into the next document are left out
+            out += run[last] - run[first]
 
 
 def train(labelled: DataFrame, alpha: float = 0.1, per_lang: int = TRAIN_DOCS) -> Model:
@@ -113,6 +116,7 @@ def train(labelled: DataFrame, alpha: float = 0.1, per_lang: int = TRAIN_DOCS) -
     some = rows.where(F.col("lang").isin(langs)).where(u < F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         seen: dict[str, np.ndarray] = {}
         for df in batches:
             for text, lang in zip(df["text"], df["lang"], strict=True):
@@ -138,6 +142,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("lang string, score double")
     def score(text: pd.Series) -> pd.DataFrame:
+        release()
         langs, post = held.value.score([None if t is None or t != t else t for t in text])
         return pd.DataFrame({"lang": langs, "score": post})
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import discard, new_path, partitions, stored
+from tidewatch.llm.common import CACHES, discard, new_path, partitions, release, stored
 
 MAGIC = b"TWT1"
 HEAD = struct.Struct("<4sIQQQ")
@@ -34,9 +34,9 @@ END_ID = 2
 #: Bytes of a shard, and ids of a block, to aim for. A longer document is a block of its own.
 SHARD_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
 #: Words whose ids a worker remembers, in each of two generations, before which it forgets the older.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Bytes of text encoded at a time; a longer text goes alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 _MASKS = np.arange(4)[None, :] < np.arange(5)[:, None]
@@ -200,6 +200,15 @@ class Encoder:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
+def _forget() -> bool:
+    had = bool(_encoders)
+    _encoders.clear()
+    return had
+
+
+CACHES.append(_forget)
+
+
 def encoder(path: str, end_id: int = END_ID) -> Encoder:
     if (path, end_id) not in _encoders:
         import os
@@ -268,6 +277,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
     order_by = ["doc_id", F.length("ids"), F.xxhash64("ids")]
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         ids: list[int | None] = []
         held: list[bytes] = []
         size = 0
