@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import partitions, release, small_side, stored, words
+from tidewatch.llm.common import bounded_batches, partitions, release, small_side, stored, tidy, trim, words
 from tidewatch.operators.components import components
 
 SIZE = 5
@@ -100,6 +100,7 @@ def links_and_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0
     link with nothing and have a null class_id. A pair at the threshold is a candidate with the given recall, and one above with more.
     """
     bands, rows = bands_for(threshold, recall)
+    bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
@@ -112,7 +113,7 @@ def links_and_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0
             yield pd.DataFrame({"doc_id": df["doc_id"].astype("Int64"), "key": [k for k, _ in out], "bands": [b for _, b in out]})
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(base.select("doc_id", _word_hashes(F.col("text")).alias("w")).mapInPandas(sign, "doc_id long, key binary, bands binary"), "signatures")
+    signed = stored(base.select("doc_id", _word_hashes(F.col("text")).alias("w")).mapInPandas(tidy(sign), "doc_id long, key binary, bands binary"), "signatures")
     usable = signed.where("key is not null and doc_id is not null")
     # A node is a set; its id is the least doc_id with it. Ids stay apart unless a doc_id repeats with other texts: those are one node for classes, and count as rows.
     nodes = stored(usable.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands")), "sets")
@@ -122,7 +123,7 @@ def links_and_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0
             h = np.frombuffer(b"".join(df["bands"]), dtype=np.int64).reshape(len(df), -1) if len(df) else np.zeros((0, bands), dtype=np.int64)
             yield pd.DataFrame({"id": df["id"].to_numpy().repeat(bands), "h": h.reshape(-1)})
 
-    members = nodes.select("id", "bands").mapInPandas(unpack, "id long, h long")
+    members = nodes.select("id", "bands").mapInPandas(tidy(unpack), "id long, h long")
     least = members.groupBy("h").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select(F.col("h").alias("g"), "m")
     near = members.join(least, F.col("h") == F.col("g")).where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
     groups = stored(components(near, "candidates"), "candidate-groups")
@@ -154,7 +155,7 @@ def _verify(base: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: flo
 
     texts = base.where("doc_id is not null").join(small_side(wanted.withColumnRenamed("id", "i")), F.col("doc_id") == F.col("i"))
     texts = texts.select("key", F.col("i").alias("id"), "copies", "bands", "g", "size", _word_hashes(F.col("text")).alias("w"))
-    held = texts.mapInPandas(sets, "key binary, id long, copies long, bands binary, g long, size long, set binary").dropDuplicates(["key"])
+    held = texts.mapInPandas(tidy(sets), "key binary, id long, copies long, bands binary, g long, size long, set binary").dropDuplicates(["key"])
     # Components within a block are packed several to a task; larger ones go by pairs of blocks.
     cut = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("key"), cut).cast("int")
@@ -170,6 +171,7 @@ def _verify(base: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: flo
             part = part.sort_values("id", kind="stable")
             lone = large and df["i"].iloc[0] != df["j"].iloc[0]
             out += _compare(part, part["mine"].to_numpy() == df["i"].iloc[0] if lone else None, threshold)
+        trim()
         return pd.concat(out) if out else pd.DataFrame({"key": [], "a": [], "b": [], "n": []})
 
     held = held.select("large", "task", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "mine", "g", "key", "id", "copies", "bands", "set")

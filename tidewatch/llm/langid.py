@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import release
+from tidewatch.llm.common import bounded_batches, release, tidy
 
 #: n-gram lengths and the number of buckets they are hashed to.
 ORDERS = (1, 2, 3)
@@ -19,7 +19,7 @@ BITS = 16
 TRAIN_DOCS = 3000
 #: At most this many languages are learned; each needs 2^BITS doubles in the broadcast matrix.
 LANGS = 200
-#: Characters scored at a time; longer texts go in slices that overlap, so no n-gram is lost.
+#: Characters scored at a time, fewer if there are over eight languages; longer texts go in slices that overlap, so no n-gram is lost.
 SLICE = 1 << 18
 
 
@@ -67,31 +67,36 @@ class Model:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and its posterior. Texts that are null or hold no letter, and all texts of an empty model: ("und", 0)."""
-        folded = [fold(t) if t else np.array([32], dtype=np.uint32) for t in texts]
-        bare = np.array([len(f) <= 1 for f in folded], dtype=bool)
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        total = np.zeros((len(texts), len(self.langs)))
-        at = 0
-        while at < len(folded):
-            to, size = at, 0
-            while to < len(folded) and (to == at or size + len(folded[to]) <= SLICE):
-                size += len(folded[to])
-                to += 1
-            if to == at + 1 and len(folded[at]) > SLICE:
-                step, most = SLICE, max(ORDERS)
-                for s in range(0, len(folded[at]), step):
-                    piece = folded[at][s : s + step + most - 1]
-                    for n, g in zip(ORDERS, grams(piece), strict=False):
-                        total[at] += self.logp[g[: step if s + step < len(folded[at]) else None]].sum(0)
-            else:
-                self._batch(folded[at:to], total[at:to])
-            at = to
+        total, bare = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=bool)
+        most = max(1 << 12, SLICE * 8 // max(8, len(self.langs)))
+        held: list[np.ndarray] = []
+        at = size = 0
+        for i, t in enumerate(texts):
+            f = fold(t) if t else np.array([32], dtype=np.uint32)
+            bare[i] = len(f) <= 1
+            if held and size + len(f) > most:
+                self._add(held, total[at:i], most)
+                held, at, size = [], i, 0
+            held.append(f)
+            size += len(f)
+        if held:
+            self._add(held, total[at:], most)
         total += self.prior
         top = total.argmax(1)
         post = 1.0 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         return ["und" if b else self.langs[i] for b, i in zip(bare, top, strict=True)], np.where(bare, 0.0, np.clip(post, 0.0, 1.0))
 
+    def _add(self, folded: list[np.ndarray], out: np.ndarray, most: int) -> None:
+        """Adds the log-probabilities of the texts to their rows of out: several at once, or one of any length in slices."""
+        if len(folded) > 1 or len(folded[0]) <= most:
+            return self._batch(folded, out)
+        text = folded[0]
+        for s in range(0, len(text), most):
+            for g in grams(text[s : s + most + max(ORDERS) - 1]):
+                out[0] += self.logp[g[: most if s + most < len(text) else None]].sum(0)
+
     def _batch(self, folded: list[np.ndarray], out: np.ndarray) -> None:
         """Rows of a sparse count matrix times logp: the buckets of all documents in a row, cut at their ends."""
         codes = np.concatenate(folded)
@@ -106,6 +111,7 @@ class Model:
 
 def train(labelled: DataFrame, alpha: float = 0.1, per_lang: int = TRAIN_DOCS) -> Model:
     """labelled (text, lang) -> model. Rows with a null text or lang, or no letter, teach nothing."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     n = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
     if not n:
@@ -129,7 +135,7 @@ def train(labelled: DataFrame, alpha: float = 0.1, per_lang: int = TRAIN_DOCS) -
             b = np.flatnonzero(row)
             yield pd.DataFrame({"lang": lang, "bucket": b.astype("int32"), "n": row[b]})
 
-    found = some.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = some.mapInPandas(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((1 << BITS, len(langs)), alpha)
     np.add.at(counts, (found["bucket"].to_numpy(dtype=np.int64), found["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy(dtype=np.int64)), found["n"].to_numpy(dtype=np.float64))
     every = np.array([n[k] for k in langs], dtype=float)
@@ -138,13 +144,16 @@ def train(labelled: DataFrame, alpha: float = 0.1, per_lang: int = TRAIN_DOCS) -
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs + __tw_lang, __tw_score. Only text is read. The model (2^BITS x languages, bounded) is broadcast."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
-    def score(text: pd.Series) -> pd.DataFrame:
+    @tidy
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         release()
-        langs, post = held.value.score([None if t is None or t != t else t for t in text])
-        return pd.DataFrame({"lang": langs, "score": post})
+        for text in batches:
+            langs, post = held.value.score([None if t is None or t != t else t for t in text])
+            yield pd.DataFrame({"lang": langs, "score": post})
 
     return docs.withColumn("__tw_p", score(F.col("text"))).withColumns({"__tw_lang": F.col("__tw_p.lang"), "__tw_score": F.col("__tw_p.score")}).drop("__tw_p")
 

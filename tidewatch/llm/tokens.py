@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import CACHES, discard, new_path, partitions, release, stored
+from tidewatch.llm.common import CACHES, bounded_batches, discard, new_path, partitions, release, stored, tidy
 
 MAGIC = b"TWT1"
 HEAD = struct.Struct("<4sIQQQ")
@@ -230,6 +230,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
     A null or empty text has the end id only. An empty table gives no shard. tokenizer: gives the file's place, on each executor.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
 
     from tokenizers import Tokenizer
 
@@ -255,7 +256,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = stored(rows.mapInArrow(ids_of, "doc_id long, ids binary, counts binary"), "token-ids")
+    held = stored(rows.mapInArrow(tidy(ids_of), "doc_id long, ids binary, counts binary"), "token-ids")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -265,7 +266,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
                 yield pd.DataFrame({"id": at, "n": seen[at]})
 
     # As many rows as the vocabulary has ids.
-    counts = held.where("counts is not null").select("counts").mapInPandas(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
+    counts = held.where("counts is not null").select("counts").mapInPandas(tidy(tally), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "id"], ascending=[False, True])
     order = counts["id"].to_numpy(dtype=np.int64)
     spark.createDataFrame(pd.DataFrame({"rank": np.arange(len(order)), "id": order}), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(int(order.max()) + 1 if len(order) else 1, dtype="<u4")
@@ -301,7 +302,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
 
     # The ids are dealt and sorted as they are; the sampling of the ranges then runs no Python.
     ordered = rows.repartitionByRange(shards, *order_by).sortWithinPartitions(*order_by)
-    ordered.mapInPandas(shard, "value binary").select(F.col("value").cast("string").alias("value")).write.text(f"{path}/shards", lineSep="\n")
+    ordered.mapInPandas(tidy(shard), "value binary").select(F.col("value").cast("string").alias("value")).write.text(f"{path}/shards", lineSep="\n")
     discard(held)
 
 
@@ -310,7 +311,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     order = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()["id"].to_numpy(dtype="<u4")
     back = spark.sparkContext.broadcast(order)
 
+    bounded_batches(spark)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for df in batches:
             for name, raw in zip(df["path"], df["content"], strict=True):
                 before = 0
@@ -325,7 +329,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     before += len(ids)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards").select("path", "content")
-    found = stored(files.mapInPandas(run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids), "token-index")
+    found = stored(files.mapInPandas(tidy(run), "file string, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids), "token-index")
     # Shards are named in the order of their ranges; one row a shard is summed here.
     totals = found.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     base = totals.select(F.col("file").alias("f"), (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
