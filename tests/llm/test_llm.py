@@ -112,7 +112,16 @@ def test_toxicity_without_labels(spark, docs):
     assert none.count() == docs.count() and none.where("__tw_flags[1]").count() == 0
 
 
-@pytest.mark.xfail(reason="0.785 at sf0.1: three in ten toxic documents hold none of the frequent marker words; see README")
+def test_telling_words():
+    y = np.r_[np.ones(20), np.zeros(180)]
+    rows = np.r_[np.arange(15), np.arange(200), [3, 190]]
+    cols = np.r_[np.zeros(15), np.ones(200), [2, 2]].astype(int)
+    x = toxicity.Sparse(rows, cols, 200, 4, np.zeros((200, 0)))
+    assert toxicity.telling(x, y, 15.1).tolist() == [True, False, False, False]
+    w, b = toxicity.fit_words(x, y, 15.1)
+    assert w[0] > 1 and not w[1:].any() and x.dot(w)[0] + b > 0 > x.dot(w)[30] + b
+
+
 def test_toxicity_f1(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     marks = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
