@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,25 @@ def test_strong_components(spark):
     assert got == {"A": (2, 1), "B": (2, 1), "C": (1, 0), "D": (2, 1), "E": (2, 1), "G": (1, 0)}
 
 
+def test_strong_components_of_all_edges(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = {(f"A{rng.randrange(60):02d}", f"A{rng.randrange(60):02d}") for _ in range(75)} | {("X", "Y"), ("Y", "Z"), ("Z", "X"), ("Z", "A00"), ("Q", "Q")}
+    reach = {a: {a} for e in pairs for a in e}
+    for _ in reach:
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    want = {a: sum(a in reach[b] for b in r) for a, r in reach.items()}
+    assert len({*want.values()}) > 2
+    e = edges(spark, sorted(pairs)).cache()
+    for one_task in (0, 10, graph.ONE_TASK):
+        got = {r["account"]: (r["scc_size"], r["in_cycle"]) for r in graph.strong_components(e, one_task=one_task).collect()}
+        assert got == {a: (n, int(n > 1)) for a, n in want.items()}
+    monkeypatch.setattr(graph, "top_edges", None)  # no cap unless it is asked for
+    train = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(pairs)], "sender string, receiver string, amount double")
+    for r in graph.fit_accounts(train, iterations=1)[0].collect():
+        assert r["g_nx_scc_size"] == want[r["account"]] and r["g_nx_component_size"] == r["g_component_size"]
+
+
 def test_components_of_a_long_chain(spark):
     names = [f"N{i:03d}" for i in range(80)]
     got = graph.component_sizes(spark.createDataFrame([*zip(names, names[1:]), ("X", "Y"), ("Z", "Z")], "sender string, receiver string")).collect()

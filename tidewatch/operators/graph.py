@@ -97,8 +97,29 @@ def component_sizes(edges: DataFrame) -> DataFrame:
     return comp.join(sizes, F.col("component") == F.col("c")).select(F.col("node").alias("account"), "component", "size")
 
 
-def strong_components(edges: DataFrame, max_edges: int = 400_000) -> DataFrame:
-    """(account, scc_size, in_cycle) of the graph of the max_edges largest edges: bounded, so one task walks it."""
+#: Once so few edges are left, one task finds the strongly connected components of the rest.
+ONE_TASK = 100_000
+
+
+def _least_reaching(edges: DataFrame) -> DataFrame:
+    """(account, mark): the least account with a path to it, or itself. One stored table a round; only marks that moved are passed on."""
+    now = stored(core_nodes(edges).select("account", F.col("account").alias("mark"), F.lit(True).alias("moved")), "reach")
+    while not now.where("moved").isEmpty():
+        sent = now.where("moved").select(F.col("account").alias("a"), F.col("mark").alias("m"))
+        got = edges.join(sent, F.col("sender") == F.col("a")).groupBy(F.col("receiver").alias("to")).agg(F.min("m").alias("got"))
+        after = now.join(got, F.col("account") == F.col("to"), "left").select("account", F.least("mark", "got").alias("mark"), F.coalesce(F.col("got") < F.col("mark"), F.lit(False)).alias("moved"))
+        after = stored(after, "reach")
+        discard(now)
+        now = after
+    return now.select("account", "mark")
+
+
+def strong_components(edges: DataFrame, max_edges: int | None = None, one_task: int = ONE_TASK) -> DataFrame:
+    """(account, scc_size, in_cycle) of the graph of all edges, or of the max_edges largest ones if that is given.
+
+    Accounts outside the cyclic core are alone. In the core, accounts are parted by the least account that reaches them; those of a part that
+    reach it in turn are its component. They leave, and so do edges between parts. Each round finds a component in each part, so the loop ends.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)
@@ -110,11 +131,31 @@ def strong_components(edges: DataFrame, max_edges: int = 400_000) -> DataFrame:
         out: list[list[int]] = [[] for _ in names]
         for x, y in zip(a, b, strict=True):
             out[x].append(y)
-        sizes = [len(c) for c in _scc(out) for _ in c]
-        nodes = [v for c in _scc(out) for v in c]
-        yield pd.DataFrame({"account": names[nodes], "scc_size": sizes, "in_cycle": [int(s > 1) for s in sizes]})
-
-    return top_edges(edges, max_edges).select("sender", "receiver").coalesce(1).mapInPandas(run, "account string, scc_size long, in_cycle int")
+        found = _scc(out)
+        yield pd.DataFrame({"account": names[[v for c in found for v in c]], "component": names[[c[0] for c in found for _ in c]]})
+
+    pairs = stored((edges if max_edges is None else top_edges(edges, max_edges)).select("sender", "receiver").distinct(), "scc-edges")
+    left = cyclic_core(pairs.where("sender <> receiver"))
+    found = None
+    while left.count() > one_task:
+        mark = _least_reaching(left)
+        to = mark.select(F.col("account").alias("b"), F.col("mark").alias("part"))
+        inner = left.join(mark, F.col("sender") == F.col("account")).join(to, (F.col("receiver") == F.col("b")) & (F.col("mark") == F.col("part")))
+        inner = stored(inner.select("sender", "receiver", "part"), "scc-parts")
+        back = _least_reaching(inner.select(F.col("receiver").alias("sender"), F.col("sender").alias("receiver")))
+        # The least account of a part is the one that it is named for.
+        done = stored(mark.join(back.select(F.col("account").alias("b"), F.col("mark").alias("m")), (F.col("account") == F.col("b")) & (F.col("mark") == F.col("m"))).select("account", F.col("mark").alias("component")), "scc")
+        found = done if found is None else found.unionAll(done)
+        rest = inner.join(done, F.col("sender") == F.col("account"), "left_anti").join(done, F.col("receiver") == F.col("account"), "left_anti")
+        before, left = left, cyclic_core(rest)
+        for table in (before, inner):
+            discard(table)
+    last = left.coalesce(1).mapInPandas(run, "account string, component string")
+    found = stored(last if found is None else found.unionAll(last), "scc")
+    sizes = found.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = found.join(sizes, F.col("component") == F.col("c")).select(F.col("account").alias("a"), "n")
+    size = F.coalesce("n", F.lit(1).cast("long"))
+    return core_nodes(pairs).join(sizes, F.col("account") == F.col("a"), "left").select("account", size.alias("scc_size"), (size > 1).cast("int").alias("in_cycle"))
 
 
 def _scc(out: list[list[int]]) -> list[list[int]]:
@@ -155,17 +196,18 @@ def _scc(out: list[list[int]]) -> list[list[int]]:
     return found
 
 
-def fit_accounts(train: DataFrame, max_edges: int = 300_000, iterations: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(accounts with all graph features, mutual pairs), both from training rows only."""
+def fit_accounts(train: DataFrame, max_edges: int | None = None, iterations: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(accounts with all graph features, mutual pairs), both from training rows only. max_edges: g_nx_ columns from so many of the largest edges only."""
     edges = stored(edge_list(train), "edges")
     core = cyclic_core(edges)
     repeat = core_nodes(cyclic_core(edges.where("n_txn >= 2"))).select(F.col("account").alias("ra"), F.lit(1).alias("g_in_repeat_cycle"))
     nodes = core_nodes(core).select(F.col("account").alias("ca"), F.lit(1).alias("g_in_cycle"))
     weak = component_sizes(edges).select(F.col("account").alias("wa"), F.col("size").alias("g_component_size"))
     inner = component_sizes(core).select(F.col("account").alias("ia"), F.col("size").alias("g_core_component_size"))
-    top = top_edges(edges, max_edges)
     scc = strong_components(edges, max_edges).select(F.col("account").alias("sa"), F.col("scc_size").alias("g_nx_scc_size"))
-    wcc = component_sizes(top).select(F.col("account").alias("xa"), F.col("size").alias("g_nx_component_size"))
+    wcc = weak.select(F.col("wa").alias("xa"), F.col("g_component_size").alias("g_nx_component_size"))
+    if max_edges is not None:
+        wcc = component_sizes(top_edges(edges, max_edges)).select(F.col("account").alias("xa"), F.col("size").alias("g_nx_component_size"))
     rank = pagerank(edges, iterations=iterations, tolerance=0).withColumnRenamed("account", "pa")
     out = degrees(edges)
     for table, key in ((rank, "pa"), (weak, "wa"), (nodes, "ca"), (inner, "ia"), (scc, "sa"), (wcc, "xa"), (repeat, "ra")):
