@@ -90,6 +90,22 @@ def test_leaks(spark, docs):
     assert decontaminate.decontaminate(docs, bench).count() == docs.count() and decontaminate.leaks(empty(spark), bench).count() == 0
 
 
+def test_leaks_of_items_with_a_repeated_word(spark):
+    """An item that ends in a run of one word; in the document the run is another word's, or is prose: similarity 0.8 at least."""
+    n = 20
+    starts = [prose(200 + i, 244) for i in range(n)]
+    bench = spark.createDataFrame([(i, t + " fill" * 30) for i, t in enumerate(starts)], "item_id long, text string")
+    rows = [(i, t + " " + prose(300 + i, 30)) for i, t in enumerate(starts)] + [(n + i, t + " other" * 30) for i, t in enumerate(starts)]
+    got = {(r[0], r[1]): r[2] for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(i, i) for i in range(n)} | {(n + i, i) for i in range(n)} and set(got.values()) == {0.8}
+
+
+def test_each_occurrence_has_a_vote(spark):
+    rows = [([5, 3, 5, 9, 5, 3],), ([1, 2],), ([],), ([3, 5, 5],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "h array<long>").select(decontaminate.votes(F.col("h"))).collect()]
+    assert [len(set(v)) for v in got] == [6, 2, 0, 3] and {3, 5, 9} < set(got[0]) and set(got[3]) < set(got[0]) and got[1] == [1, 2]
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.op5_language_id(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'")
