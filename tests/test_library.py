@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tidewatch.functions.calendar import infer_date_format
 from tidewatch.functions.scalar import bucketize, two_proportion_ztest
 from tidewatch.operators import features, graph, lift, rules
 from tidewatch.plans.matrix import FEATURES, GRAPH_FEATURES
+from tidewatch.plans.queries import corridor_pivot
 from tidewatch.sources import generator
 from tidewatch.sources.transactions import RAW, prepare
 
@@ -74,6 +76,21 @@ def test_velocity_against_brute_force(spark):
             assert r[f"vel_count_{h}h"] == len(near) and math.isclose(r[f"vel_amount_sum_{h}h"], sum(x[3] for x in near))
 
 
+def test_corridor_pivot_takes_the_busiest(spark):
+    rows = [(f"L{i}", f"L{(i * 7 + k) % 25}", k % 2) for i in range(25) for k in range(i + 1)] + [("L24", "L24", 1)] * 40
+    df = spark.createDataFrame(rows, "sender_loc string, receiver_loc string, is_laundering int")
+
+    def busiest(k):
+        return {x for _, x in sorted((-n, x) for x, n in Counter(r[k] for r in rows).items())[:12]}
+
+    got = corridor_pivot(df).collect()
+    assert {r["sender_loc"] for r in got} == busiest(0) != {f"L{i}" for i in range(12)} and {*got[0].asDict()} == busiest(1) | {"sender_loc"}
+    for r in got:
+        for c in busiest(1):
+            marks = [x[2] for x in rows if x[:2] == (r["sender_loc"], c)]
+            assert r[c] == (100 * sum(marks) / len(marks) if marks else None)
+
+
 def test_ztest_and_lift(spark):
     z, p = two_proportion_ztest(50, 100, 50, 10_000)
     assert z > 0 and p < 0.01

@@ -363,8 +363,14 @@ _TOPLOC = [f"L{i}" for i in range(12)]
 
 @query("corridor_pivot", "@big, x as (select sender_loc, " + ", ".join(f"avg(is_laundering) filter (receiver_loc = '{c}') * 100 as {c}" for c in _TOPLOC) + " from big where sender_loc in (" + ", ".join(f"'{c}'" for c in _TOPLOC) + ") group by sender_loc)", " ".join(_TOPLOC))
 def _(s, d):
-    t = txn_large(s, d).where(F.col("sender_loc").isin(_TOPLOC) & F.col("receiver_loc").isin(_TOPLOC))
-    return t.groupBy("sender_loc").pivot("receiver_loc", _TOPLOC).agg(F.avg("is_laundering") * 100)
+    return corridor_pivot(txn_large(s, d))
+
+
+def corridor_pivot(t: DataFrame, n: int = 12) -> DataFrame:
+    """Rates of the n busiest sender by the n busiest receiver locations, by rows of the whole table, ties by name. The SQL still names L0 to L11."""
+    senders, receivers = ([r[0] for r in t.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(n).collect()] for c in ("sender_loc", "receiver_loc"))
+    t = t.where(F.col("sender_loc").isin(senders) & F.col("receiver_loc").isin(receivers))
+    return t.groupBy("sender_loc").pivot("receiver_loc", sorted(receivers)).agg(F.avg("is_laundering") * 100)
 
 
 @query("degree_bucket_lift", "@txn, g as (select *, count(*) over (partition by sender) as o, count(*) over (partition by receiver) as i from txn), b as (select 'fan_out' as side, " + _bucket_sql("o", *DEGREE_BINS) + " as bucket, is_laundering from g union all select 'fan_in', " + _bucket_sql("i", *DEGREE_BINS) + ", is_laundering from g), x as (select side, bucket, count(*) as n, sum(is_laundering) as n_laundering, avg(is_laundering) * 100 as rate_pct, avg(is_laundering) / (select avg(is_laundering) from txn) as lift from b group by 1, 2)", _BUCKET, "n_laundering")
