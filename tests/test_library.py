@@ -30,6 +30,13 @@ def test_cyclic_core(spark):
     assert {r[0] for r in between.collect()} == set("ABCDEG")
 
 
+def test_cyclic_core_of_long_tails(spark):
+    tail, chain = [f"T{i:02d}" for i in range(54)], [f"C{i:03d}" for i in range(105)]
+    pairs = [*zip(tail, tail[1:]), (tail[-1], "A"), ("A", "B"), ("B", "A"), *zip(chain, chain[1:])]
+    core = graph.cyclic_core(edges(spark, pairs).coalesce(1))
+    assert {(r["sender"], r["receiver"]) for r in core.collect()} == {("A", "B"), ("B", "A")}
+
+
 def test_strong_components(spark):
     got = {r["account"]: (r["scc_size"], r["in_cycle"]) for r in graph.strong_components(edges(spark, ["AB", "BA", "BC", "CD", "DE", "ED", "GG"])).collect()}
     assert got == {"A": (2, 1), "B": (2, 1), "C": (1, 0), "D": (2, 1), "E": (2, 1), "G": (1, 0)}

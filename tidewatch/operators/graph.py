@@ -64,14 +64,14 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 60, tole
     return now.select("account", F.col("rank").alias("g_pagerank"))
 
 
-def cyclic_core(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Edges left when accounts without an incoming or without an outgoing edge are peeled away, round by round.
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges left when accounts without an incoming or without an outgoing edge are peeled away, round by round, until none is.
 
     Holds all cycles, and the paths between cycles. Self-loops stay.
     """
     now = stored(edges.select("sender", "receiver").distinct(), "core")
     n = now.count()
-    for _ in range(rounds):
+    while True:
         both = now.select(F.col("sender").alias("a")).intersect(now.select(F.col("receiver").alias("a")))
         left = now.join(both, F.col("sender") == F.col("a"), "left_semi").join(both, F.col("receiver") == F.col("a"), "left_semi")
         after = stored(left, "core")
@@ -79,8 +79,7 @@ def cyclic_core(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now, was = after, n
         n = now.count()
         if n == was:
-            break
-    return now
+            return now
 
 
 def core_nodes(core: DataFrame) -> DataFrame:
