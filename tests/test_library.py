@@ -9,7 +9,7 @@ from tidewatch.functions.calendar import infer_date_format
 from tidewatch.functions.scalar import bucketize, two_proportion_ztest
 from tidewatch.operators import features, graph, lift, rules
 from tidewatch.plans.matrix import FEATURES, GRAPH_FEATURES
-from tidewatch.plans.queries import corridor_pivot
+from tidewatch.plans.queries import QUERIES, corridor_pivot
 from tidewatch.sources import generator
 from tidewatch.sources.transactions import RAW, prepare
 
@@ -144,6 +144,11 @@ def test_generator_and_preparation(spark):
     assert ready.where("hour not between 0 and 23 or date is null").count() == 0 and "Time" not in ready.columns
 
 
+def test_synthetic_counts_are_of_the_full_size(spark):
+    got = {r["Laundering_type"]: r["n"] for r in QUERIES["synthetic_counts"](spark, "").collect()}
+    assert sum(got.values()) == generator.N_TOTAL and {k: n for k, n in got.items() if k} == generator.TYPOLOGIES
+
+
 def test_date_formats(spark):
     assert infer_date_format(spark.createDataFrame([("31/01/2024",), ("01/02/2024",)], "d string"), "d")[0] == "dd/MM/yyyy"
     assert infer_date_format(spark.createDataFrame([("x",)], "d string"), "d")[0] is None

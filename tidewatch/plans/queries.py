@@ -760,4 +760,4 @@ def _(s, d):
 
 @query("synthetic_counts")
 def _(s, d):
-    return generate(s, 50_000, 1).groupBy("Laundering_type").agg(F.count(F.lit(1)).alias("n")).withColumn("full_size", F.element_at(F.create_map(*[F.lit(x) for kv in TYPOLOGIES.items() for x in kv]), F.col("Laundering_type")))
+    return generate(s, seed=1).groupBy("Laundering_type").agg(F.count(F.lit(1)).alias("n")).withColumn("full_size", F.element_at(F.create_map(*[F.lit(x) for kv in TYPOLOGIES.items() for x in kv]), F.col("Laundering_type")))
