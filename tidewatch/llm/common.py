@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,10 +36,13 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
-def release() -> None:
-    """Spark hands a worker from one stage to the next: frees what other operators have kept in it."""
-    if any([free() for free in CACHES]):
-        trim()
+def release(keep: Callable[[], bool] | None = None) -> None:
+    """Spark hands a worker from one stage to the next: frees what other operators have kept in it (all but `keep`), and what is left unused."""
+    for free in CACHES:
+        if free is not keep:
+            free()
+    gc.collect()
+    trim()
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -13,9 +13,11 @@ them. Spark's text writer commits the files, so a lost executor leaves none half
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,8 +35,11 @@ DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 END_ID = 2
 #: Bytes of a shard, and ids of a block, to aim for. A longer document is a block of its own.
 SHARD_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
-#: Words whose ids a worker remembers, in each of two generations, before which it forgets the older.
-MEMORY = 250_000
+#: Bytes, as estimated, that a worker spends on remembered words, in each of two generations, before it forgets the older; a longer word than
+#: WORD characters is not remembered.
+MEMORY, WORD = 24 << 20, 64
+#: What a remembered word takes besides its characters and ids: the objects and the place in the table.
+_ENTRY = 200
 #: Bytes of text encoded at a time; a longer text goes alone.
 SLICE_BYTES = 4 << 20
 
@@ -109,6 +114,18 @@ _BYTE = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(x for x in ra
 _PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+")
 
 
+#: Settings of a tokenizer file under which a text is its words: byte-level pieces of the standard pattern, nothing changed before, plain BPE.
+_SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False}
+
+
+def splits_by_words(settings: dict) -> bool:
+    """Whether Encoder may work word by word; a file with other settings goes through the whole tokenizer, text by text."""
+    splitter, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    held = all(settings.get(k) is None for k in ("normalizer", "truncation", "padding"))
+    return held and all(splitter.get(k) == v for k, v in _SPLITTER.items()) and all((model.get(k) or None) == (v or None) for k, v in _MODEL.items())
+
+
 class Encoder:
     """Ids of whole texts, the tokenizer being asked once for each word it has not met of late.
 
@@ -123,18 +140,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_words = splits_by_words(json.loads(self.tokenizer.to_str()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.line = self.whole("\n")
-        self.short: dict[str, list[int]] = {}
+        self.short: dict[str, bytes] = {}
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.taken = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of a word behind a space; behind a line feed or the first mark, without one."""
+        if word.isalpha():
+            return self._pack("Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE)))
         mark = word[:1]
         if mark == _END:
             return self.end
@@ -145,18 +166,21 @@ class Encoder:
         else:
             text, before = " " + word, b""
         if text.isascii():
-            ids = [i for p in _PIECE.findall(text) for i in self._piece(p)] if text.isprintable() else None
-        elif text.lstrip(" ").isalpha():
-            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_BYTE))]
-        else:
-            ids = None
-        return before + (self.whole(text) if ids is None else struct.pack(f"<{len(ids)}I", *ids))
+            if not text.isprintable():
+                return before + self.whole(text)
+            return before + b"".join([self._piece(p) for p in _PIECE.findall(text)])
+        if text.lstrip(" ").isalpha():
+            return before + self._pack(text.encode().decode("latin-1").translate(_BYTE))
+        return before + self.whole(text)
+
+    def _pack(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         if len(piece) > 3:
-            return [t.id for t in self.model.tokenize("Ġ" + piece[1:] if piece[0] == " " else piece)]
+            return self._pack("Ġ" + piece[1:] if piece[0] == " " else piece)
         if piece not in self.short:  # of three ASCII characters at most, so there are few
-            self.short[piece] = [t.id for t in self.model.tokenize("Ġ" + piece[1:] if piece[0] == " " else piece)]
+            self.short[piece] = self._pack("Ġ" + piece[1:] if piece[0] == " " else piece)
         return self.short[piece]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,25 +188,31 @@ class Encoder:
         marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts, "\n", " \n"), f" {_END}", "")
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        now, old, found = self.now, self.old, []
+        found = []
         for w in coded.dictionary.to_numpy(zero_copy_only=False):
-            ids = now.get(w)
+            ids = self.now.get(w)
             if ids is None:
-                ids = now[w] = old.get(w) or self._word(w)
+                ids = self.old.get(w) or self._word(w)
+                if len(w) <= WORD:
+                    self.now[w] = ids
+                    self.taken += _ENTRY + len(w) + len(ids)
+                    if self.taken > MEMORY:
+                        self.now, self.old, self.taken = {}, self.now, 0
             found.append(ids)
-        if len(now) > MEMORY:
-            self.now, self.old = {}, now
         codes = coded.indices.to_numpy()
-        size = np.array([len(x) for x in found], dtype=np.int64) // 4
-        start = np.cumsum(size) - size
+        # A text holds under 2^31 bytes and an id takes one at least, so 32 bits hold every place.
+        size = np.array([len(x) for x in found], dtype=np.int32) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
         each = size[codes]
-        ends = np.cumsum(each)
-        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(start[codes] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, ends[np.cumsum(pc.list_value_length(lists).to_numpy()) - 1]
+        ends = np.cumsum(each, dtype=np.int32)
+        place = np.repeat(start[codes] - (ends - each), each)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[place]
+        return ids, ends[np.cumsum(pc.list_value_length(lists).to_numpy()) - 1].astype(np.int64)
 
     def batch(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """[(which rows, their ids in a row, their ends)] of non-null strings."""
-        odd = pc.match_substring_regex(texts, _ODD)
+        odd = pc.match_substring_regex(texts, _ODD if self.by_words else "")
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
         odd = odd.to_numpy(zero_copy_only=False)
@@ -237,6 +267,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
     width = 2 if max(Tokenizer.from_file(tokenizer()).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep=_forget)
         enc, seen = encoder(tokenizer(), end_id), np.zeros(0, dtype="<i8")
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "").cast(pa.string())
