@@ -23,22 +23,24 @@ def parse_mixed(column: Column) -> Column:
     return F.coalesce(*[F.to_date(F.try_to_timestamp(column, F.lit(f))) for f in DATE_FORMATS])
 
 
-def add_time_features(df: DataFrame) -> DataFrame:
+def add_time_features(df: DataFrame, fmt: str | None = None) -> DataFrame:
     """Date, Time -> date, month, day_of_week (0 Monday), is_weekend, day, hour, minute, is_night (0 to 5), txn_ts to the minute.
 
-    Time may be HH:mm:ss or hours as a number. A bad date is null; a bad time counts as midnight in txn_ts and not as night.
+    Time may be HH:mm:ss or hours as a number. A bad date is null; a bad time counts as midnight in txn_ts and not as night. fmt: the format of Date; inferred
+    if it isn't given.
     """
-    fmt, _ = infer_date_format(df, "Date")
+    fmt = fmt or infer_date_format(df, "Date")[0]
     date = F.to_date(F.try_to_timestamp(F.col("Date").cast("string"), F.lit(fmt))) if fmt else parse_mixed(F.col("Date").cast("string"))
     text = F.col("Time").cast("string")
     clock = F.coalesce(F.try_to_timestamp(text, F.lit("HH:mm:ss")), F.try_to_timestamp(text, F.lit("HH:mm")))
     number = text.try_cast("double")
     hour = F.coalesce(F.hour(clock), F.floor(number).cast("int"))
     minute = F.coalesce(F.minute(clock), F.floor((number - F.floor(number)) * 60).cast("int"), F.lit(0))
+    # Names are the same to Spark whatever their case, so date takes the place of Date.
     df = df.withColumns({"date": date, "hour": hour, "minute": minute})
     return df.withColumns({
         "month": F.month("date"), "day_of_week": F.weekday("date"), "is_weekend": (F.weekday("date") >= 5).cast("int"), "day": F.day("date"),
         "is_night": F.coalesce(F.col("hour").between(0, 5), F.lit(False)).cast("int"),
         "txn_ts": F.col("date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.coalesce("hour", F.lit(0)), F.col("minute")),
         "epoch": F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.coalesce("hour", F.lit(0)) * 3600 + F.col("minute") * 60,
-    }).drop("Time", "Date")
+    }).drop("Time")

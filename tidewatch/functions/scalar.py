@@ -58,13 +58,12 @@ def ztest_column(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
 
 def two_proportion_ztest(x1: int, n1: int, x2: int, n2: int) -> tuple[float, float]:
     """(z, two-sided p); NaN if a side is empty or the pooled error 0."""
-    if not n1 or not n2:
+    sizes = (n1, n2)
+    if 0 in sizes:
         return math.nan, math.nan
-    pool = (x1 + x2) / (n1 + n2)
-    se = math.sqrt(pool * (1 - pool) * (1 / n1 + 1 / n2))
-    if se == 0:
-        return math.nan, math.nan
-    z = (x1 / n1 - x2 / n2) / se
+    shared = (x1 + x2) / sum(sizes)
+    spread = math.sqrt(shared * (1 - shared) * sum(1 / n for n in sizes))
+    z = (x1 / n1 - x2 / n2) / spread if spread else math.nan
     return z, math.erfc(abs(z) / math.sqrt(2))
 
 

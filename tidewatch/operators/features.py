@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import above_threshold, is_round, near_threshold, ratio, same_category
+from tidewatch.sources.shared import small_side, stored
 
 WINDOWS = (1, 6, 24, 168)
 CODED = {"payment_type_code": "payment_type", "pay_currency_code": "pay_currency", "rec_currency_code": "rec_currency", "sender_loc_code": "sender_loc", "receiver_loc_code": "receiver_loc"}
-#: Ruler tables whose rows are at most this many are broadcast.
-BROADCAST_ROWS = 400_000
+#: A sender with more rows than this is cut into spans of the longest window.
+HOT_ROWS = 1_000_000
 
 
 def maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """A ruler table, broadcast if its rows and bytes are within the limits of the shared folder's module."""
+    return small_side(df)
 
 
 def time_split(df: DataFrame, train: float = 0.70, val: float = 0.15) -> DataFrame:
@@ -51,33 +53,86 @@ def apply_codes(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
     return df
 
 
-def velocity(df: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+def velocity(df: DataFrame, windows: tuple[int, ...] = WINDOWS, hot: int = HOT_ROWS) -> DataFrame:
     """Counts and sums of the sender's transfers in (t - W, t], rows of the same second included.
 
-    All frames share one partitioning and one order, hence one shuffle and one sort.
+    A window's figure is the running one up to t less the one up to t - W. Both frames only grow, so each row is added once to each, however many rows a window
+    holds; all frames share one shuffle and one sort. A sender with over `hot` rows is cut into spans of the longest window, each beside a copy of the
+    span before it, so that many tasks share the sender's rows. Rows without a time are in no window.
     """
-    w = Window.partitionBy("sender").orderBy("epoch")
-    near = near_threshold(F.col("amount"))
+    span = max(windows) * 3600
+    busy = df.groupBy(F.col("sender").alias("__busy")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("__busy")
+    some = df.limit(hot + 1).count() > hot and not busy.isEmpty()
+    if some:
+        spans = F.floor(F.col("epoch") / span)
+        cuts = F.array(F.struct(spans.alias("at"), F.lit(False).alias("copy")), F.struct((spans + 1).alias("at"), F.lit(True).alias("copy")))
+        whole = F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.lit(False).alias("copy")))
+        df = df.join(small_side(busy), F.col("sender").eqNullSafe(F.col("__busy")), "left").withColumn("__span", F.explode(F.when(F.col("__busy").isNotNull(), cuts).otherwise(whole))).drop("__busy")
+        w = Window.partitionBy("sender", "__span.at").orderBy("epoch")
+    else:
+        w = Window.partitionBy("sender").orderBy("epoch")
+    near, known = near_threshold(F.col("amount")), F.col("amount").isNotNull().cast("int")
+    till = w.rangeBetween(Window.unboundedPreceding, 0)
     cols = {}
     for h in windows:
-        f = w.rangeBetween(-(h * 3600 - 1), 0)
-        cols |= {f"vel_count_{h}h": F.count(F.lit(1)).over(f), f"vel_amount_sum_{h}h": F.sum("amount").over(f)}
+        before = w.rangeBetween(Window.unboundedPreceding, -h * 3600)
+        less = lambda x, before=before: F.sum(x).over(till) - F.coalesce(F.sum(x).over(before), F.lit(0))
+        cols |= {f"vel_count_{h}h": F.count(F.lit(1)).over(till) - F.count(F.lit(1)).over(before), f"vel_amount_sum_{h}h": F.when(less(known) > 0, less(F.col("amount")))}
         if h in (24, 168):
-            cols[f"vel_near_threshold_count_{h}h"] = F.sum(near).over(f)
-    return df.withColumns(cols)
+            cols[f"vel_near_threshold_count_{h}h"] = F.when(less(known) > 0, less(near))
+    out = df.withColumns(cols)
+    return out.where("not __span.copy").drop("__span") if some else out
+
+
+#: Steps of the logarithm by which amounts are cut for ranking: 200 to a factor of e.
+_CUTS = 200
+
+
+def running_counts(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, c, before, n): how often each value occurs for its key, how many rows of the key have a smaller one, and how many the key has.
+
+    Null values are left out. Values are cut by their logarithm, and the counts run within a cut and over the cuts, so that no task holds all values of a key.
+    """
+    v = F.col(value).cast("double")
+    cut = F.when(F.isnan(v), F.lit(1 << 40)).otherwise(F.signum(v) * F.floor(F.log1p(F.least(F.abs(v), F.lit(1e300))) * _CUTS)).cast("long")
+    per = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c"), F.min(cut).alias("cut"))
+    per = stored(per, "value-counts")
+    cuts = per.groupBy("key", "cut").agg(F.sum("c").alias("k"))
+    over = Window.partitionBy("key").orderBy("cut")
+    cuts = cuts.select(F.col("key").alias("k2"), F.col("cut").alias("cut2"), (F.sum("k").over(over) - F.col("k")).alias("base"), F.sum("k").over(Window.partitionBy("key")).alias("n"))
+    within = Window.partitionBy("key", "cut").orderBy("value")
+    ran = per.withColumn("run", F.sum("c").over(within) - F.col("c"))
+    out = ran.join(small_side(cuts), F.col("key").eqNullSafe(F.col("k2")) & (F.col("cut") == F.col("cut2")))
+    return out.select("key", "value", "c", (F.col("base") + F.col("run")).alias("before"), "n")
 
 
 def fit_percentiles(train: DataFrame, n: int = 1000) -> DataFrame:
-    """(pay_currency, grid): distinct interior quantiles of the amount."""
-    marks = F.array(*[F.lit(k / n) for k in range(1, n)])
-    return train.where("pay_currency is not null and amount is not null").groupBy("pay_currency").agg(F.array_sort(F.array_distinct(F.percentile("amount", marks))).alias("grid"))
+    """(pay_currency, grid): distinct interior quantiles of the amount, by linear interpolation between the two rows that a quantile lies between."""
+    ranks = running_counts(train.where("pay_currency is not null"), "pay_currency", "amount")
+    # The marks whose lower or upper row is one of a value's: a mark k lies at (n - 1) * k / marks.
+    last = F.col("n") - 1
+    near = lambda rank: F.least(F.lit(n - 1), F.greatest(F.lit(1), F.floor(F.try_divide(rank * F.lit(float(n)), last)).cast("int")))
+    marks = F.when(last == 0, F.sequence(F.lit(1), F.lit(n - 1))).otherwise(F.sequence(F.greatest(F.lit(1), near(F.col("before") - 1) - 1), F.least(F.lit(n - 1), near(F.col("before") + F.col("c")) + 1)))
+    each = ranks.withColumn("k", F.explode(marks)).withColumn("at", (F.col("k") / F.lit(float(n))) * last)
+    lower, upper = F.floor("at"), F.ceil("at")
+    holds = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("c"))
+    each = each.where(holds(lower) | holds(upper))
+    found = each.groupBy("key", "k").agg(F.max(F.when(holds(lower), F.col("value"))).alias("lo"), F.max(F.when(holds(upper), F.col("value"))).alias("hi"), F.max(F.col("at") - lower).alias("part"))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
+    return found.groupBy(F.col("key").alias("pay_currency")).agg(F.array_sort(F.collect_set(value)).alias("grid"))
+
+
+def below(grid, x, steps: int = 10):
+    """How many of the sorted values of an array of under 2^steps are less than x, by halving."""
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+    return F.aggregate(halves, F.lit(0), lambda at, half: F.when((at + half <= F.size(grid)) & (F.get(grid, at + half - 1) < x), at + half).otherwise(at))
 
 
 def apply_percentiles(df: DataFrame, grid: DataFrame) -> DataFrame:
-    """Share of the grid below the amount, in percent; null for a currency without one."""
+    """Share of the grid below the amount, in percent; null for a currency without one, 0 for a null amount."""
     g = maybe_broadcast(grid.select(F.col("pay_currency").alias("__c"), "grid"))
     df = df.join(g, F.col("pay_currency") == F.col("__c"), "left")
-    return df.withColumn("amount_pct_in_currency", ratio(F.size(F.filter("grid", lambda x: x < F.col("amount"))) * 100.0, F.size("grid"))).drop("__c", "grid")
+    return df.withColumn("amount_pct_in_currency", ratio(below(F.col("grid"), F.col("amount")) * 100.0, F.size("grid"))).drop("__c", "grid")
 
 
 def fit_profiles(train: DataFrame) -> DataFrame:

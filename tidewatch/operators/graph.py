@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,11 +11,15 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import ratio
 from tidewatch.operators.components import components
-from tidewatch.sources.shared import discard, stored
+from tidewatch.sources.shared import discard, scratch, stored, stored_with
 
 
 def edge_list(df: DataFrame) -> DataFrame:
-    return df.where("sender is not null and receiver is not null").groupBy("sender", "receiver").agg(F.count(F.lit(1)).alias("n_txn"), F.sum("amount").alias("amount_sum"), F.avg("amount").alias("amount_mean"), F.max("amount").alias("amount_max"))
+    """A row for each pair of sender and receiver; last_ts: the latest epoch, or date where rows have dates only."""
+    last = next((c for c in ("epoch", "date") if c in df.columns), None)
+    return df.where("sender is not null and receiver is not null").groupBy("sender", "receiver").agg(
+        F.count(F.lit(1)).alias("n_txn"), F.sum("amount").alias("amount_sum"), F.avg("amount").alias("amount_mean"), F.max("amount").alias("amount_max"), *([F.max(last).alias("last_ts")] if last else []),
+    )
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -50,16 +55,19 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 60, tole
     nodes = w.select(F.col("sender").alias("account")).unionAll(w.select(F.col("receiver").alias("account"))).distinct()
     nodes = nodes.join(total, F.col("account") == F.col("t_account"), "left").select("account", F.col("total").isNull().alias("dangling"))
     n = nodes.count()
-    now = stored(nodes.withColumn("rank", F.lit(1.0 / max(n, 1))), "pagerank")
+    if not n:
+        return nodes.select("account", F.lit(0.0).alias("g_pagerank"))
+    sums = lambda: {"lost": F.sum(F.when(F.col("dangling"), F.col("rank"))), "moved": F.sum(F.abs(F.col("rank") - F.col("was")))}
+    now, seen = stored_with(nodes.withColumns({"rank": F.lit(1.0 / n), "was": F.lit(0.0)}), "pagerank", **sums())
     for _ in range(iterations):
-        lost = now.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
+        lost = seen["lost"] or 0.0
         got = links.join(now.select(F.col("account").alias("a"), "rank"), F.col("sender") == F.col("a")).groupBy(F.col("receiver").alias("to")).agg(F.sum(F.col("share") * F.col("rank")).alias("in_rank"))
-        new = now.join(got, F.col("account") == F.col("to"), "left").select("account", "dangling", F.col("rank").alias("was"), ((1 - damping) / n + damping * (F.coalesce("in_rank", F.lit(0.0)) + lost / n)).alias("rank"))
-        after = stored(new, "pagerank")
-        moved = after.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+        new = now.drop("was").join(got, F.col("account") == F.col("to"), "left").select("account", "dangling", F.col("rank").alias("was"), ((1 - damping) / n + damping * (F.coalesce("in_rank", F.lit(0.0)) + lost / n)).alias("rank"))
+        # One job a round: what the next one needs is summed while this one is written.
+        after, seen = stored_with(new, "pagerank", **sums())
         discard(now)
         now = after
-        if tolerance and moved < tolerance:
+        if tolerance and (seen["moved"] or 0.0) < tolerance:
             break
     return now.select("account", F.col("rank").alias("g_pagerank"))
 
@@ -195,24 +203,59 @@ def _scc(out: list[list[int]]) -> list[list[int]]:
     return found
 
 
-def fit_accounts(train: DataFrame, max_edges: int | None = None, iterations: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(accounts with all graph features, mutual pairs), both from training rows only. max_edges: g_nx_ columns from so many of the largest edges only."""
-    edges = stored(edge_list(train), "edges")
-    core = cyclic_core(edges)
-    repeat = core_nodes(cyclic_core(edges.where("n_txn >= 2"))).select(F.col("account").alias("ra"), F.lit(1).alias("g_in_repeat_cycle"))
-    nodes = core_nodes(core).select(F.col("account").alias("ca"), F.lit(1).alias("g_in_cycle"))
-    weak = component_sizes(edges).select(F.col("account").alias("wa"), F.col("size").alias("g_component_size"))
-    inner = component_sizes(core).select(F.col("account").alias("ia"), F.col("size").alias("g_core_component_size"))
-    scc = strong_components(edges, max_edges).select(F.col("account").alias("sa"), F.col("scc_size").alias("g_nx_scc_size"))
-    wcc = weak.select(F.col("wa").alias("xa"), F.col("g_component_size").alias("g_nx_component_size"))
-    if max_edges is not None:
-        wcc = component_sizes(top_edges(edges, max_edges)).select(F.col("account").alias("xa"), F.col("size").alias("g_nx_component_size"))
-    rank = pagerank(edges, iterations=iterations, tolerance=0).withColumnRenamed("account", "pa")
-    out = degrees(edges)
-    for table, key in ((rank, "pa"), (weak, "wa"), (nodes, "ca"), (inner, "ia"), (scc, "sa"), (wcc, "xa"), (repeat, "ra")):
-        out = out.join(table, F.col("account") == F.col(key), "left").drop(key)
-    fills = {"g_component_size": 1, "g_in_cycle": 0, "g_core_component_size": 0, "g_nx_scc_size": 1, "g_nx_component_size": 1, "g_in_repeat_cycle": 0}
-    return stored(out.na.fill(fills), "accounts"), stored(mutual_pairs(edges), "mutual")
+@dataclass
+class GraphTables:
+    accounts: DataFrame  # all graph features of an account
+    mutual: DataFrame
+    edges: DataFrame
+    core: DataFrame
+
+    def meta(self) -> DataFrame:
+        """One row of counts."""
+        a = self.accounts.agg(F.count(F.lit(1)).alias("n_accounts"), F.coalesce(F.sum("g_in_cycle"), F.lit(0)).cast("long").alias("n_accounts_in_cycle"), F.coalesce(F.sum("g_in_repeat_cycle"), F.lit(0)).cast("long").alias("n_accounts_in_repeat_cycle"))
+        rest = {"n_edges_train": self.edges, "n_core_edges": self.core, "n_mutual_pairs": self.mutual}
+        return a.withColumns({k: F.lit(t.count()).cast("long") for k, t in rest.items()})
+
+
+def fit_graph(train: DataFrame, max_edges: int | None = None, iterations: int = 60, tolerance: float = 1e-8) -> GraphTables:
+    """All tables of the graph, from training rows only. max_edges: g_nx_ columns from so many of the largest edges only."""
+    with scratch() as keep:
+        edges = keep(stored(edge_list(train), "edges"))
+        core = keep(cyclic_core(edges))
+        weak = component_sizes(edges).select("account", F.col("size").alias("g_component_size"))
+        wide = weak if max_edges is None else component_sizes(top_edges(edges, max_edges)).select("account", F.col("size").alias("g_component_size"))
+        parts = [
+            degrees(edges), pagerank(edges, iterations=iterations, tolerance=tolerance), weak, wide.withColumnRenamed("g_component_size", "g_nx_component_size"),
+            core_nodes(core).withColumn("g_in_cycle", F.lit(1)), component_sizes(core).select("account", F.col("size").alias("g_core_component_size")),
+            strong_components(edges, max_edges).select("account", F.col("scc_size").alias("g_nx_scc_size")), core_nodes(cyclic_core(edges.where("n_txn >= 2"))).withColumn("g_in_repeat_cycle", F.lit(1)),
+        ]
+        # Each part has an account once, so one shuffle of their rows puts them side by side.
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part, allowMissingColumns=True)
+        out = out.groupBy("account").agg(*[F.max(c).alias(c) for c in out.columns if c != "account"])
+        fills = {"g_component_size": 1, "g_in_cycle": 0, "g_core_component_size": 0, "g_nx_scc_size": 1, "g_nx_component_size": 1, "g_in_repeat_cycle": 0}
+        return GraphTables(keep(stored(out.na.fill(fills), "accounts")), keep(stored(mutual_pairs(edges), "mutual")), edges, core)
+
+
+def fit_accounts(train: DataFrame, max_edges: int | None = None, iterations: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(accounts with all graph features, mutual pairs) of fit_graph()."""
+    found = fit_graph(train, max_edges, iterations)
+    return found.accounts, found.mutual
+
+
+def ego_network(edges: DataFrame, start: str, most: int = 40, hops: int = 2) -> DataFrame:
+    """Edges among the accounts within some hops of one, in either direction: the nearest `most` of them, by name at one distance."""
+    near = edges.sparkSession.createDataFrame([(start, 0)], "account string, hop int")
+    ends = edges.select(F.col("sender").alias("a"), F.col("receiver").alias("b"))
+    ends = ends.unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    for hop in range(1, hops + 1):
+        # At most `most` accounts are known at each step, so they are what is broadcast.
+        found = ends.join(F.broadcast(near.select(F.col("account").alias("n"))), F.col("a") == F.col("n"), "left_semi").select(F.col("b").alias("account"), F.lit(hop).alias("hop"))
+        near = near.unionAll(found).groupBy("account").agg(F.min("hop").alias("hop")).orderBy("hop", "account").limit(most)
+    near = stored(near, "ego")
+    one, two = near.select(F.col("account").alias("x")), near.select(F.col("account").alias("y"))
+    return edges.join(F.broadcast(one), F.col("sender") == F.col("x"), "left_semi").join(F.broadcast(two), F.col("receiver") == F.col("y"), "left_semi").select("sender", "receiver")
 
 
 def apply_accounts(df: DataFrame, accounts: DataFrame, mutual: DataFrame) -> DataFrame:

@@ -42,10 +42,10 @@ def compare_band(df: DataFrame, mask: Column, target: str = Y) -> DataFrame:
     return row.select(F.inline(sides))
 
 
-def compare_p(df: DataFrame, mask: Column, target: str = Y) -> float:
-    m = F.coalesce(mask, F.lit(False))
-    r = df.agg(F.sum(F.when(m, F.col(target))), F.count_if(m), F.sum(F.when(~m, F.col(target))), F.count_if(~m)).first()
-    return two_proportion_ztest(r[0] or 0, r[1], r[2] or 0, r[3])[1]
+def lift_and_p(x_in: int, n_in: int, x_all: int, n_all: int) -> tuple[float | None, float | None]:
+    """A group's lift over the rate of all rows, and p against the other rows; null where a side is empty."""
+    _, p = two_proportion_ztest(x_in, n_in, x_all - x_in, n_all - n_in)
+    return (x_in / n_in) / (x_all / n_all) if n_in and x_all else None, None if math.isnan(p) else p
 
 
 def flag_checks(df: DataFrame, flags: dict[str, Column], target: str = Y) -> DataFrame:
@@ -107,5 +107,7 @@ def lift_table(df: DataFrame, columns: list[str], bins: int = 5, min_n: int = 20
     return by.groupBy("feature").agg(F.count(F.lit(1)).alias("n_bins"), F.max("lift").alias("max_lift"), F.min("lift").alias("min_lift"), F.max_by("bin", F.struct("lift", -F.col("bin"))).alias("best_bin"))
 
 
-def isnan(x: float) -> bool:
-    return isinstance(x, float) and math.isnan(x)
+def log_histogram(df: DataFrame, column: str, by: list[str], least: float = 0.01, per_decade: int = 10) -> DataFrame:
+    """Counts by group and bin of log10 of a column, clipped from below; nulls are left out."""
+    bin_ = F.floor(F.log10(F.greatest(F.col(column), F.lit(least))) * per_decade)
+    return df.where(F.col(column).isNotNull()).groupBy(*by, bin_.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -21,11 +21,7 @@ GRAPH_FEATURES = """g_out_degree g_in_degree g_total_degree g_degree_ratio g_out
 g_nx_scc_size g_nx_component_size g_in_repeat_cycle g_is_mutual_pair g_receiver_in_cycle""".split()
 
 
-def with_velocity(df: DataFrame) -> DataFrame:
-    return f.velocity(df)
-
-
-def add_features(split: DataFrame, with_graph: bool = True, rulers_to: str | None = None) -> DataFrame:
+def add_features(split: DataFrame, with_graph: bool = True, rulers_to: str | None = None, max_edges: int | None = None) -> DataFrame:
     """split (with period) -> all features. rulers_to: a folder where the fitted tables are kept for new data."""
     train = split.where("period = 'train'")
     codes = {k: stored(f.fit_codes(split, c), "codes") for k, c in f.CODED.items()}
@@ -37,7 +33,7 @@ def add_features(split: DataFrame, with_graph: bool = True, rulers_to: str | Non
     df = f.apply_pairs(df, rulers["pairs"])
     df = df.withColumn("vel_amount_24h_to_median", ratio(F.col("vel_amount_sum_24h"), F.col("sender_median_amount")))
     if with_graph:
-        rulers["accounts"], rulers["mutual"] = graph.fit_accounts(train)
+        rulers["accounts"], rulers["mutual"] = graph.fit_accounts(train, max_edges)
         df = graph.apply_accounts(df, rulers["accounts"], rulers["mutual"])
     if rulers_to:
         for name, table in (rulers | {f"code_{k}": t for k, t in codes.items()}).items():
@@ -45,10 +41,10 @@ def add_features(split: DataFrame, with_graph: bool = True, rulers_to: str | Non
     return df
 
 
-def build_and_save(df: DataFrame, out: str, with_graph: bool = True, limit: int | None = None) -> None:
+def build_and_save(df: DataFrame, out: str, with_graph: bool = True, limit: int | None = None, max_edges: int | None = None) -> None:
     """The build as a job: split, fit, apply, write by period with the rulers beside."""
     split = f.time_split(df if limit is None else df.limit(limit))
-    done = add_features(split, with_graph, f"{out}/rulers")
+    done = add_features(split, with_graph, f"{out}/rulers", max_edges)
     columns = FEATURES + GRAPH_FEATURES * with_graph
     save_table(done.select("txn_id", *columns, "is_laundering", "period"), f"{out}/matrix", ["period"])
 

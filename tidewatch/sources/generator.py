@@ -57,13 +57,60 @@ def _role(name: str, index: Column | None = None) -> Column:
     return F.lit(name) if index is None else F.concat(F.lit(name), index.cast("string"))
 
 
+#: Rows of an instance, or the least and the most where they vary (1 if not listed); senders and receivers of a bipartite grid, least and most.
+SIZES = {
+    "Structuring": (5, 11), "Smurfing": (8, 15), "Fan_Out": (12, 29), "Fan_In": (15, 34), "Layered_Fan_Out": 15, "Layered_Fan_In": 15, "Cycle": (5, 9), "Gather-Scatter": 10, "Scatter-Gather": 10,
+    "Behavioural_Change_1": (4, 6), "Behavioural_Change_2": (4, 8), "Deposit-Send": 2,
+}
+GRID = (4, 7)
+
+
+def _instances(name: str, d: Draw, i: Column) -> tuple[Column, Column, Column]:
+    """(instance, step in it, its rows) of the i-th row of a typology.
+
+    Sizes vary in pairs: where one instance has least + k rows, the other has most - k. So every pair has as many rows, and a row's place needs no sum over those before it.
+    """
+    size = SIZES.get(name, 1)
+    if isinstance(size, int):
+        return F.floor(i / size), (i % size).cast("int"), F.lit(size)
+    least, most = size
+    pair, place = F.floor(i / (least + most)), (i % (least + most)).cast("int")
+    first = (F.floor(d.u("size", pair) * (most - least + 1)) + least).cast("int")
+    second = place >= first
+    return pair * 2 + second.cast("int"), F.when(second, place - first).otherwise(place), F.when(second, least + most - first).otherwise(first)
+
+
+def _grids(d: Draw, i: Column) -> tuple[Column, Column, Column, Column]:
+    """(instance, step, senders, receivers) of senders by receivers. Eight instances have GRID's numbers of receivers twice each, and paired numbers of senders: as many rows for any eight."""
+    lo, hi = GRID
+    kinds = hi - lo + 1
+    whole = (lo + hi) * sum(range(lo, hi + 1))
+    eight, place = F.floor(i / whole), (i % whole).cast("int")
+    turn = F.floor(d.u("turn", eight) * kinds).cast("int")
+    found, before = None, F.lit(0)
+    for k in range(kinds):
+        receivers = ((turn + k) % kinds + lo).cast("int")
+        senders = (F.floor(d.u(f"senders{k}", eight) * kinds) + lo).cast("int")
+        for half, n in enumerate((senders, lo + hi - senders)):
+            here = F.struct((eight * 2 * kinds + 2 * k + half).alias("inst"), (place - before).alias("step"), n.alias("n"), receivers.alias("m"))
+            inside = place >= before
+            found = here if found is None else F.when(inside, here).otherwise(found)
+            before = before + n * receivers
+    return found["inst"], found["step"], found["n"], found["m"]
+
+
 def _pattern(name: str, d: Draw, i: Column) -> dict:
-    """Of a typology: rows of an instance, and from the step the roles of both sides, the amount, the day and the seconds after its start."""
-    size = {"Structuring": 8, "Smurfing": 12, "Fan_Out": 20, "Fan_In": 24, "Layered_Fan_Out": 15, "Layered_Fan_In": 15, "Bipartite": 25, "Stacked Bipartite": 50, "Cycle": 7, "Gather-Scatter": 10, "Scatter-Gather": 10, "Behavioural_Change_1": 5, "Behavioural_Change_2": 6, "Deposit-Send": 2}.get(name, 1)
-    step, inst = (i % size).cast("int"), F.floor(i / size)
+    """Of a typology, from the row's instance and step in it: the roles of both sides, the amount, the day and the seconds after its start."""
+    if "Bipartite" in name:
+        layers = 2 if name.startswith("Stacked") else 1
+        inst, step, n, m = _grids(d, F.floor(i / layers))
+        size, layer = n * m, (i % layers).cast("int")
+    else:
+        inst, step, size = _instances(name, d, i)
+        m, layer = F.lit(1), F.lit(0)
     a, b, mid = _role("a"), _role("b"), _role("m", step % 3)
     base = d.between("base", 2_000, 20_000, inst)
-    p = {"size": size, "from": a, "to": b, "amount": d.between("amount", 500, 9_000), "day": F.lit(0), "spread": 86_399, "kind": None, "night": 0.0, "cross": False}
+    p = {"from": a, "to": b, "amount": d.between("amount", 500, 9_000), "day": F.lit(0), "spread": 86_399, "kind": None, "night": 0.0, "cross": False}
     grow = lambda early, late, n: F.when(step < n, early).otherwise(late)
     return p | {
         "Structuring": {"amount": d.between("amount", 8_700, 9_950), "spread": 6 * 3600},
@@ -74,15 +121,16 @@ def _pattern(name: str, d: Draw, i: Column) -> dict:
         "Fan_In": {"from": _role("s", step)},
         "Layered_Fan_Out": {"from": grow(a, mid, 3), "to": grow(mid, _role("t", step), 3), "day": grow(F.lit(0), F.lit(1), 3)},
         "Layered_Fan_In": {"from": grow(_role("s", step), mid, 12), "to": grow(mid, b, 12), "day": grow(F.lit(0), F.lit(1), 12)},
-        "Bipartite": {"from": _role("s", F.floor(step / 5)), "to": _role("r", step % 5)},
-        "Stacked Bipartite": {"from": grow(_role("s", F.floor(step / 5)), _role("n", F.floor((step - 25) / 5)), 25), "to": grow(_role("n", step % 5), _role("r", step % 5), 25), "day": grow(F.lit(0), F.lit(1), 25)},
+        # Of a stack, one layer goes from senders to receivers of a grid and the next from those on; rows of the layers alternate.
+        "Bipartite": {"from": _role("s", F.floor(step / m)), "to": _role("r", step % m)},
+        "Stacked Bipartite": {"from": F.when(layer == 0, _role("s", F.floor(step / m))).otherwise(_role("r", step % m)), "to": F.when(layer == 0, _role("r", step % m)).otherwise(_role("t", F.floor(step / m))), "day": layer},
         "Cycle": {"from": _role("n", step), "to": _role("n", (step + 1) % size), "amount": base * F.pow(F.lit(0.97), step), "day": step},
         "Gather-Scatter": {"from": grow(_role("s", step), a, 5), "to": grow(a, _role("r", step), 5), "day": grow(F.lit(0), F.lit(1), 5)},
         "Scatter-Gather": {"from": grow(a, _role("m", step % 5), 5), "to": grow(_role("m", step % 5), b, 5), "day": grow(F.lit(0), F.lit(1), 5)},
-        "Behavioural_Change_1": {"amount": grow(base * 0.05, base * d.between("times", 0.75, 2.0), 4), "day": step},
+        "Behavioural_Change_1": {"amount": F.when(step + 1 < size, base * 0.05).otherwise(base * d.between("times", 0.75, 2.0)), "day": step},
         "Behavioural_Change_2": {"to": _role("r", step), "spread": 3 * 3600},
         "Over-Invoicing": {"amount": d.between("amount", 150_000, 2_000_000), "kind": "Cross-border", "cross": True},
-        "Deposit-Send": {"from": grow(_role("x"), a, 1), "to": grow(a, b, 1), "amount": grow(base, base * d.between("kept", 0.93, 0.99), 1), "day": grow(F.lit(0), F.floor(d.u("late", inst) * 3).cast("int"), 1)},
+        "Deposit-Send": {"from": grow(_role("x"), a, 1), "to": grow(a, b, 1), "amount": grow(base, base * d.between("kept", 0.93, 0.99), 1), "day": grow(F.lit(0), F.floor(d.u("late", inst) * 3).cast("int"), 1), "kind": grow(F.lit("Cash Deposit"), F.lit("Wire"), 1)},
     }.get(name, {}) | {"inst": inst}
 
 
@@ -118,7 +166,7 @@ def generate(spark: SparkSession, n_rows: int = N_TOTAL, seed: int = 42) -> Data
         first = F.floor(d.u("start", p["inst"]) * (86_400 - 1))
         start = F.when(d.u("night", p["inst"]) < p["night"], first % (6 * 3600)).otherwise(first) if p["night"] else first
         second = F.least(start + F.floor(d.u("second") * p["spread"]), F.lit(86_399)) if p["spread"] < 86_399 else hour(d)
-        kind = F.lit(p["kind"]) if p["kind"] else d.pick(d.u("kind"), PAYMENTS)
+        kind = d.pick(d.u("kind"), PAYMENTS) if p["kind"] is None else p["kind"] if isinstance(p["kind"], Column) else F.lit(p["kind"])
         day = F.floor(d.u("day", p["inst"]) * (N_DAYS - 10)) + p["day"]
         part = _rows(spark.range(n), d, d.account(p["from"], p["inst"]), d.account(p["to"], p["inst"]), p["amount"], day, second, kind, F.lit(True) if p["cross"] else d.u("cross") < CROSS_BORDER, F.lit(name))
         out = part if out is None else out.unionAll(part)

@@ -32,6 +32,7 @@ def find_raw_csv(folder: str, variable: str = "SAML_D_CSV") -> str:
 
 
 def read_raw_csv(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:
+    """The typed CSV; nrows: so many rows, of which Spark takes the first it reads, in the order of files for a small number."""
     df = spark.read.schema(RAW_SCHEMA).option("header", True).csv(path)
     return df if nrows is None else df.limit(nrows)
 
@@ -81,10 +82,20 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
 
-def write_report(path: str, title: str, rows: list[tuple[str, object]]) -> None:
-    """A short Markdown report of figures that are already on the driver."""
-    with open(path, "w") as f:
-        f.write(f"# {title}\n\n" + "".join(f"- **{k}**: {v}\n" for k, v in rows))
+def write_report(spark: SparkSession, path: str, title: str, rows: list[tuple[str, object]]) -> None:
+    """A short Markdown report of figures that are already on the driver, as one file in any store that Spark reaches."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray((f"# {title}\n\n" + "".join(f"- **{k}**: {v}\n" for k, v in rows)).encode()))
+    finally:
+        out.close()
+
+
+def sample_rows(df: DataFrame, key: str, share: float) -> DataFrame:
+    """About a share of the rows, chosen by a hash of their key: the same rows in every run, and all or none of those with one key."""
+    u = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 13), 16, 10).cast("long")
+    return df.where(u < F.lit(int(share * (1 << 52))))
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +117,9 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(currencies, (F.col("user_id") % 5).cast("int")).alias("pay_currency"), F.get(currencies, (F.col("k") % 5).cast("int")).alias("rec_currency"), "sender_loc", "receiver_loc", label.alias("is_laundering"),
     )
     df = df.withColumn("laundering_type", F.when(F.col("is_laundering") == 1, F.when(F.col("amount").between(9000, 9999.99), "Structuring").otherwise(F.concat(F.lit("Type_"), "payment_type"))))
-    return df.withColumns({
-        "date": F.to_date("ts"), "month": F.month("ts"), "day": F.day("ts"), "hour": F.hour("ts"), "minute": F.minute("ts"), "day_of_week": F.weekday(F.to_date("ts")),
-        "is_weekend": (F.weekday(F.to_date("ts")) >= 5).cast("int"), "is_night": F.hour("ts").between(0, 5).cast("int"),
-        "epoch": (F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60),
-    })
+    # The calendar by the same functions that prepare a raw table.
+    text = df.withColumns({"Date": F.date_format("ts", "yyyy-MM-dd"), "Time": F.date_format("ts", "HH:mm:ss")})
+    return add_time_features(text, "yyyy-MM-dd").drop("txn_ts")
 
 
 def txn_large(spark: SparkSession, sf_dir: str) -> DataFrame:
