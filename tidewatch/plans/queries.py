@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -13,9 +14,10 @@ from tidewatch.functions.scalar import bucketize, ratio, two_proportion_ztest, v
 from tidewatch.operators import features as f
 from tidewatch.operators import graph, lift, rules
 from tidewatch.plans import matrix as mx
-from tidewatch.sources.generator import TYPOLOGIES, generate
-from tidewatch.sources.shared import stored
-from tidewatch.sources.transactions import txn, txn_large
+from tidewatch.sources.generator import N_TOTAL, TYPOLOGIES, generate
+from tidewatch.sources.shared import new_path, scratch, shared_dir, state, stored
+from tidewatch.sources.transactions import NAMES, RAW, append_csv, load_dataset, load_periods, sample_rows, save_table, txn, txn_large, write_report
+from tidewatch.streaming import alerts
 
 INF = math.inf
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +38,7 @@ big as (select l_orderkey, l_linenumber, 'C' || lpad(cast(o_custkey as varchar),
   'L' || cast(o_custkey % 25 as varchar) as sender_loc, 'L' || cast(l_partkey % 25 as varchar) as receiver_loc, l_returnflag as payment_type, cast(l_quantity > 48 and l_returnflag = 'R' as integer) as is_laundering
   from lineitem join orders on l_orderkey = o_orderkey cross join nc)"""
 SPLIT = "q as (select quantile_cont(epoch, 0.70) as q1, quantile_cont(epoch, 0.85) as q2 from txn), sp as (select txn.*, case when epoch <= q1 then 'train' when epoch <= q2 then 'val' else 'test' end as period from txn, q)"
-EDGES = "edges as (select sender, receiver, count(*) as n_txn, sum(amount) as amount_sum, avg(amount) as amount_mean, max(amount) as amount_max from {v} group by 1, 2)"
+EDGES = "edges as (select sender, receiver, count(*) as n_txn, sum(amount) as amount_sum, avg(amount) as amount_mean, max(amount) as amount_max, max({t}) as last_ts from {v} group by 1, 2)"
 
 
 def neat(df: DataFrame) -> DataFrame:
@@ -92,7 +94,10 @@ def _(s, d):
     return f.apply_codes(t, {k: f.fit_codes(t, c) for k, c in f.CODED.items()}).select("txn_id", *f.CODED)
 
 
-@query("date_format_inference")
+_FORMATS = " union all ".join(f"select {i} as i, '{a}' as name, avg(cast(try_strptime(s, '{b}') is not null as integer)) as score, count(try_strptime(s, '{b}')) as ok, count(*) as n from o" for i, (a, b) in enumerate(zip(calendar.DATE_FORMATS, ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%d-%m-%Y", "%m-%d-%Y", "%d.%m.%Y", "%Y%m%d"), strict=True)))
+
+
+@query("date_format_inference", f"o as (select strftime(o_orderdate, '%d/%m/%Y') as s from orders), sc as ({_FORMATS}), x as (select n, ok as n_parsed, name as format, score from sc order by score desc, i limit 1)", "score")
 def _(s, d):
     o = s.read.parquet(f"{d}/orders.parquet").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("Date"))
     fmt, score = calendar.infer_date_format(o, "Date")
@@ -181,7 +186,7 @@ def _(s, d):
     return lift.describe(txn(s, d), ["is_laundering"], "amount")
 
 
-@query("degree_describe", "@big, " + EDGES.replace("{v}", "big") + ", dg as (select sender as account, count(*) as deg from edges group by 1), pos as (select sender as account, max(is_laundering) as cls from big group by 1), j as (select cls, cast(deg as double) as deg from dg join pos using (account)), " + _describe_sql("j", "cls", "deg"), _DESC, "cls")
+@query("degree_describe", "@big, " + EDGES.replace("{v}", "big").replace("{t}", "date") + ", dg as (select sender as account, count(*) as deg from edges group by 1), pos as (select sender as account, max(is_laundering) as cls from big group by 1), j as (select cls, cast(deg as double) as deg from dg join pos using (account)), " + _describe_sql("j", "cls", "deg"), _DESC, "cls")
 def _(s, d):
     t = txn_large(s, d)
     one = t.groupBy("sender").agg(F.countDistinct("receiver").cast("double").alias("deg"), F.max("is_laundering").alias("cls"))
@@ -280,9 +285,9 @@ def _(s, d):
 _ORD = "case bucket " + " ".join(f"when '{b}' then {i}" for i, b in enumerate(DAY_BINS[1])) + " end"
 
 
-@query("velocity_threshold_bucket", "@txn, " + _two_level_sql("sender, date", DAY_BINS).replace("x as", "y as") + f", x as (select min_by(bucket, {_ORD}) as bucket from y where lift >= 1.05)")
+@query("velocity_threshold_bucket", "@txn, " + _two_level_sql("sender, date", DAY_BINS).replace("x as", "y as") + f", x as (select min_by(bucket, {_ORD}) as bucket from y where lift >= 3)")
 def _(s, d):
-    y = _two_level(txn(s, d), ["sender", "date"], DAY_BINS).where("lift >= 1.05")
+    y = _two_level(txn(s, d), ["sender", "date"], DAY_BINS).where("lift >= 3")
     return y.agg(F.min_by("bucket", F.array_position(F.array(*[F.lit(b) for b in DAY_BINS[1]]), F.col("bucket"))).alias("bucket"))
 
 
@@ -318,9 +323,16 @@ def _(s, d):
     return t.withColumn("z", ztest_column(F.col("x1"), F.col("n1"), F.col("x2"), F.col("n2")))
 
 
-@query("ztest_p_value")
+def _p_sql(z: str) -> str:
+    """erfc(|z| / sqrt 2), which DuckDB lacks, by the series of erf; beyond 4 it is under 2e-8."""
+    x = f"greatest(1e-12, least(4.0, abs({z}) / sqrt(2.0)))"
+    term = f"(case when n % 2 = 0 then 1.0 else -1.0 end) * exp((2 * n + 1) * ln({x}) - lgamma(n + 1.0)) / (2 * n + 1)"
+    return f"1.0 - 2.0 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda n: {term}))"
+
+
+@query("ztest_p_value", "@txn, c as (select count(*) filter (amount >= 9000 and amount < 10000) as n1, coalesce(sum(is_laundering) filter (amount >= 9000 and amount < 10000), 0) as x1, count(*) filter (amount >= 10000 and amount < 11000) as n2, coalesce(sum(is_laundering) filter (amount >= 10000 and amount < 11000), 0) as x2 from txn), z0 as (select " + _z_sql("x1", "n1", "x2", "n2") + " as z from c), x as (select z, " + _p_sql("z") + " as p from z0)", "z p")
 def _(s, d):
-    """p by erfc on the four counts; Spark and DuckDB have no erfc."""
+    """p by erfc on the four counts; Spark has no erfc."""
     r = QUERIES["below_above_band_ztest"](s, d).first()
     z, p = two_proportion_ztest(r["x1"], r["n1"], r["x2"], r["n2"])
     return s.range(1).select(F.lit(z).alias("z"), F.lit(p).alias("p"))
@@ -358,16 +370,15 @@ def _(s, d):
     return out.select("k", "n_senders", "n", "n_laundering", ratio(ratio(c("n_laundering"), c("n")), ratio(c("x2"), c("n2"))).alias("lift_vs_other"), ztest_column(c("n_laundering"), c("n"), c("x2"), c("n2")).alias("z"))
 
 
-_TOPLOC = [f"L{i}" for i in range(12)]
-
-
-@query("corridor_pivot", "@big, x as (select sender_loc, " + ", ".join(f"avg(is_laundering) filter (receiver_loc = '{c}') * 100 as {c}" for c in _TOPLOC) + " from big where sender_loc in (" + ", ".join(f"'{c}'" for c in _TOPLOC) + ") group by sender_loc)", " ".join(_TOPLOC))
+@query("corridor_pivot", "@big, ts as (select sender_loc from big where sender_loc is not null group by 1 order by count(*) desc, sender_loc limit 12), tr as (select receiver_loc from big where receiver_loc is not null group by 1 order by count(*) desc, receiver_loc limit 12), x as (select sender_loc, receiver_loc, avg(is_laundering) * 100 as rate_pct from big where sender_loc in (select sender_loc from ts) and receiver_loc in (select receiver_loc from tr) group by 1, 2)", "rate_pct")
 def _(s, d):
-    return corridor_pivot(txn_large(s, d))
+    """The pivot's cells as rows: its columns are named by the data."""
+    wide = corridor_pivot(txn_large(s, d))
+    return wide.unpivot("sender_loc", [c for c in wide.columns if c != "sender_loc"], "receiver_loc", "rate_pct").where("rate_pct is not null")
 
 
 def corridor_pivot(t: DataFrame, n: int = 12) -> DataFrame:
-    """Rates of the n busiest sender by the n busiest receiver locations, by rows of the whole table, ties by name. The SQL still names L0 to L11."""
+    """Rates of the n busiest sender by the n busiest receiver locations, by rows of the whole table, ties by name."""
     senders, receivers = ([r[0] for r in t.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(n).collect()] for c in ("sender_loc", "receiver_loc"))
     t = t.where(F.col("sender_loc").isin(senders) & F.col("receiver_loc").isin(receivers))
     return t.groupBy("sender_loc").pivot("receiver_loc", sorted(receivers)).agg(F.avg("is_laundering") * 100)
@@ -420,6 +431,29 @@ def _(s, d):
     return txn(s, d).where("is_laundering = 1").groupBy("sender").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sender").limit(10)
 
 
+@query("illicit_sender_share", "@txn, g as (select sender, count(*) as n from txn where is_laundering = 1 group by sender), r as (select n, row_number() over (order by n desc, sender) as rn, count(*) over () as k from g), x as (select max(k) as n_senders, sum(n) filter (rn <= greatest(1, k // 100)) * 100.0 / sum(n) as top1_pct from r)", "top1_pct")
+def _(s, d):
+    """Share of the positive rows that the top 1 % of their senders have, one sender at least."""
+    a = stored(txn(s, d).where("is_laundering = 1").groupBy("sender").agg(F.count(F.lit(1)).alias("n")), "illicit")
+    n, total = a.agg(F.count(F.lit(1)), F.sum("n")).first()
+    return a.orderBy(F.desc("n"), "sender").limit(max(1, n // 100)).agg(F.lit(n).alias("n_senders"), (F.sum("n") * 100.0 / F.lit(total)).alias("top1_pct"))
+
+
+_TOP1 = " union all ".join(f"(select '{k}' as kind, {g} as grp, count(*) as n, sum(is_laundering) as n_laundering, (sum(is_laundering) / cast(count(*) as double)) / (select avg(is_laundering) from txn) as lift from txn group by 2 having count(*) >= 20 order by lift desc, grp limit 1)" for k, g in (("corridor", "sender_loc || ' > ' || receiver_loc"), ("channel", "payment_type")))
+
+
+@query("top_groups", "@txn, t as (" + _TOP1 + "), a as (select count(*) as all_n, sum(is_laundering) as all_x from txn), z0 as (select kind, grp, n, n_laundering, lift, " + _z_sql("n_laundering", "n", "(all_x - n_laundering)", "(all_n - n)") + " as z from t, a), x as (select kind, grp, n, n_laundering, lift, " + _p_sql("z") + " as p from z0)", "lift p", "n_laundering")
+def _(s, d):
+    """The corridor and the channel with the highest lift over the base rate among those with 20 rows, and p against all other rows."""
+    t = txn(s, d)
+    all_n, all_x = lift.base_rate(t)
+    out = []
+    for kind, group in (("corridor", F.concat_ws(" > ", "sender_loc", "receiver_loc")), ("channel", F.col("payment_type"))):
+        for r in lift.rate_by_group(t.withColumn("grp", group), ["grp"], min_support=20).orderBy(F.desc("lift"), "grp").limit(1).collect():
+            out.append((kind, r["grp"], r["n"], r["n_laundering"], *lift.lift_and_p(r["n_laundering"], r["n"], all_x, all_n)))
+    return s.createDataFrame(out, "kind string, grp string, n long, n_laundering long, lift double, p double")
+
+
 @query("eda_summary", "@txn, x as (select count(*) as n, sum(is_laundering) as n_laundering, count(distinct sender) as n_senders, count(distinct receiver) as n_receivers, (select count(*) from (select sender from txn union select receiver from txn)) as n_accounts, avg(amount) as mean_amount, avg(cast(sender_loc is distinct from receiver_loc as integer)) * 100 as cross_border_pct from txn)", "mean_amount cross_border_pct", "n_laundering")
 def _(s, d):
     t = txn(s, d)
@@ -428,17 +462,17 @@ def _(s, d):
     return t.agg(F.count(F.lit(1)).alias("n"), F.sum("is_laundering").alias("n_laundering"), F.countDistinct("sender").alias("n_senders"), F.countDistinct("receiver").alias("n_receivers"), F.avg("amount").alias("mean_amount"), (F.avg("is_cross_border") * 100).alias("cross_border_pct")).withColumn("n_accounts", F.lit(n))
 
 
-@query("verdicts")
+_HYPOTHESES = {"structuring": "amount >= 9000 and amount < 10000", "large": "amount >= 10000", "night": "is_night = 1", "weekend": "is_weekend = 1", "cross_border": "sender_loc is distinct from receiver_loc", "currency_mismatch": "pay_currency is distinct from rec_currency"}
+_HYPS = " union all ".join(f"select '{k}' as hypothesis, count(*) filter ({c}) as n1, coalesce(sum(is_laundering) filter ({c}), 0) as x1, count(*) as n, sum(is_laundering) as x from txn" for k, c in _HYPOTHESES.items())
+
+
+@query("verdicts", "@txn, h as (" + _HYPS + "), z0 as (select hypothesis, n1 as n, (x1 / nullif(cast(n1 as double), 0)) / nullif(x / cast(n as double), 0) as lift, " + _z_sql("x1", "n1", "(x - x1)", "(n - n1)") + " as z from h), p0 as (select hypothesis, n, lift, " + _p_sql("z") + " as p from z0), x as (select *, case when p is null or p >= 0.05 then 'no effect' when lift >= 1.5 then 'confirmed' when lift >= 1.2 then 'weak' else 'not confirmed' end as verdict from p0)", "lift p")
 def _(s, d):
-    """Hypotheses by their lift over the base rate and the p-value against the rest; p needs erfc, so there is no SQL."""
+    """Hypotheses by their lift over the base rate and the p-value against the rest."""
     t = f.border_flags(f.amount_flags(txn(s, d)))
     flags = {"structuring": "amount_near_threshold", "large": "amount_above_threshold", "night": "is_night", "weekend": "is_weekend", "cross_border": "is_cross_border", "currency_mismatch": "is_currency_mismatch"}
     row = t.agg(F.count(F.lit(1)).alias("n"), F.sum("is_laundering").alias("x"), *[a for k, c in flags.items() for a in (F.sum(c).alias(f"n_{k}"), F.sum(F.col(c) * F.col("is_laundering")).alias(f"x_{k}"))]).first()
-    out = []
-    for k in flags:
-        n1, x1 = row[f"n_{k}"] or 0, row[f"x_{k}"] or 0
-        _, p = two_proportion_ztest(x1, n1, (row["x"] or 0) - x1, row["n"] - n1)
-        out.append((k, n1, (x1 / n1) / (row["x"] / row["n"]) if n1 and row["x"] else None, None if math.isnan(p) else p))
+    out = [(k, row[f"n_{k}"] or 0, *lift.lift_and_p(row[f"x_{k}"] or 0, row[f"n_{k}"] or 0, row["x"] or 0, row["n"])) for k in flags]
     return s.createDataFrame(out, "hypothesis string, n long, lift double, p double").withColumn("verdict", verdict(F.col("lift"), F.col("p")))
 
 
@@ -546,14 +580,14 @@ def _(s, d):
 
 # --- graph --------------------------------------------------------------------------------------------------------------
 
-_EL, _ET = EDGES.replace("{v}", "big"), EDGES.replace("{v}", "(select * from sp where period = 'train')")
+_EL, _ET = EDGES.replace("{v}", "big").replace("{t}", "date"), EDGES.replace("{v}", "(select * from sp where period = 'train')").replace("{t}", "epoch")
 
 
 def _train_edges(s, d) -> DataFrame:
     return graph.edge_list(f.time_split(txn(s, d)).where("period = 'train'"))
 
 
-@query("graph_edges", "@big, " + _EL + ", x as (select * from edges)", "amount_sum amount_mean amount_max")
+@query("graph_edges", "@big, " + _EL + ", x as (select * replace (cast(last_ts as varchar) as last_ts) from edges)", "amount_sum amount_mean amount_max")
 def _(s, d):
     return graph.edge_list(txn_large(s, d))
 
@@ -572,18 +606,16 @@ def _(s, d):
     return graph.mutual_pairs(graph.edge_list(txn_large(s, d)))
 
 
-@query("graph_top_edges", "@big, " + _EL + ", x as (select * from edges order by amount_sum desc, sender, receiver limit 1000)", "amount_sum amount_mean amount_max")
+@query("graph_top_edges", "@big, " + _EL + ", x as (select * replace (cast(last_ts as varchar) as last_ts) from edges order by amount_sum desc, sender, receiver limit 1000)", "amount_sum amount_mean amount_max")
 def _(s, d):
     return graph.top_edges(graph.edge_list(txn_large(s, d)), 1000)
 
 
-_REACH = "reach as (select sender as a, receiver as b from {e} union select r.a, e.receiver from reach r join {e} e on e.sender = r.b), cyc as (select distinct a from reach where a = b), cn as (select a as n from cyc union select x1.b from reach x1 join cyc on cyc.a = x1.a intersect (select a from reach x2 join cyc c2 on c2.a = x2.b union select a from cyc)), core as (select sender, receiver from {e} where sender in (select n from cn) and receiver in (select n from cn))"
-
-
-def _core_sql(e: str) -> str:
-    fwd = "(select a from cyc union select x1.b from reach x1 join cyc on cyc.a = x1.a)"
-    bwd = "(select a from cyc union select x2.a from reach x2 join cyc c2 on c2.a = x2.b)"
-    return f"reach as (select sender as a, receiver as b from {e} union select r.a, e.receiver from reach r join {e} e on e.sender = r.b), cyc as (select distinct a from reach where a = b), cn as ({fwd} intersect {bwd}), core as (select sender, receiver from {e} where sender in (select a from cn) and receiver in (select a from cn))"
+def _core_sql(e: str, p: str = "") -> str:
+    """{p}core: the edges of e within cycles and between them; the names of all its parts begin with p."""
+    fwd = f"(select a from {p}cyc union select x1.b from {p}reach x1 join {p}cyc on {p}cyc.a = x1.a)"
+    bwd = f"(select a from {p}cyc union select x2.a from {p}reach x2 join {p}cyc c2 on c2.a = x2.b)"
+    return f"{p}reach as (select sender as a, receiver as b from {e} union select r.a, e.receiver from {p}reach r join {e} e on e.sender = r.b), {p}cyc as (select distinct a from {p}reach where a = b), {p}cn as ({fwd} intersect {bwd}), {p}core as (select sender, receiver from {e} where sender in (select a from {p}cn) and receiver in (select a from {p}cn))"
 
 
 _REC = "recursive "
@@ -602,8 +634,9 @@ def _(s, d):
     return graph.cyclic_core(_train_edges(s, d).where("n_txn >= 2"))
 
 
-def _wcc_sql(e: str) -> str:
-    return f"und as (select sender as a, receiver as b from {e} union select receiver, sender from {e}), wr as (select a, b from und union select wr.a, und.b from wr join und on und.a = wr.b), wc as (select a as account, least(a, min(b)) as component from wr group by a), x as (select account, component, count(*) over (partition by component) as size from wc)"
+def _wcc_sql(e: str, out: str = "x") -> str:
+    p = f"{out}_"
+    return f"{p}und as (select sender as a, receiver as b from {e} union select receiver, sender from {e}), {p}wr as (select a, b from {p}und union select {p}wr.a, {p}und.b from {p}wr join {p}und on {p}und.a = {p}wr.b), {p}wc as (select a as account, least(a, min(b)) as component from {p}wr group by a), {out} as (select account, component, count(*) over (partition by component) as size from {p}wc)"
 
 
 @query("graph_components", _REC + "@txn, @split, " + _ET + ", " + _wcc_sql("edges"))
@@ -616,68 +649,162 @@ def _(s, d):
     return graph.component_sizes(graph.cyclic_core(_train_edges(s, d)))
 
 
-_PR = "w as (select sender, receiver, n_txn / cast(sum(n_txn) over (partition by sender) as double) as share from edges), nd as (select sender as account from edges union select receiver from edges), na as (select account, (select count(*) from nd) as n, account not in (select sender from edges) as dang from nd), pk as (select 0 as it, account, n, dang, 1.0::double / n as rank from na union all select it + 1, account, n, dang, rank from (select p.it, q.account, q.n, q.dang, 0.15 / q.n + 0.85 * (coalesce(sum(p.rank * w.share), 0) + max(p.lost) / q.n) as rank from (select *, coalesce(sum(case when dang then rank end) over (), 0) as lost from pk where it < 20) p cross join na q left join w on w.sender = p.account and w.receiver = q.account group by p.it, q.account, q.n, q.dang)), x as (select account, rank * 1000 as g_pagerank_x1000 from pk where it = 20)"
+_PR = (
+    "w as (select sender, receiver, n_txn / cast(sum(n_txn) over (partition by sender) as double) as share from edges), nd as (select sender as account from edges union select receiver from edges), "
+    "na as (select account, (select count(*) from nd) as n, account not in (select sender from edges) as dang from nd), "
+    "pk as (select 0 as it, account, n, dang, 1.0::double / n as rank, 1.0::double as moved from na union all select it + 1, account, n, dang, rank, sum(abs(rank - was)) over () as moved from ("
+    "select p.it, q.account, q.n, q.dang, max(p.rank) filter (p.account = q.account) as was, 0.15 / q.n + 0.85 * (coalesce(sum(p.rank * w.share), 0) + max(p.lost) / q.n) as rank "
+    "from (select *, coalesce(sum(case when dang then rank end) over (), 0) as lost from pk where it < 60 and moved >= 1e-8) p cross join na q left join w on w.sender = p.account and w.receiver = q.account group by p.it, q.account, q.n, q.dang)), "
+    "pr as (select account, rank * 1000 as g_pagerank_x1000 from pk where it = (select max(it) from pk))"
+)
 
 
-@query("graph_pagerank", _REC + "@txn, @split, " + _ET + ", " + _PR, "g_pagerank_x1000")
+@query("graph_pagerank", _REC + "@txn, @split, " + _ET + ", " + _PR + ", x as (select * from pr)", "g_pagerank_x1000")
 def _(s, d):
-    return graph.pagerank(_train_edges(s, d), iterations=20, tolerance=0).select("account", (F.col("g_pagerank") * 1000).alias("g_pagerank_x1000"))
+    return graph.pagerank(_train_edges(s, d)).select("account", (F.col("g_pagerank") * 1000).alias("g_pagerank_x1000"))
+
 
+_SCC = "mu as (select f.a, f.b from reach f join reach g on f.a = g.b and f.b = g.a where f.a <> f.b), scc as (select nd.account, 1 + count(mu.b) as scc_size, cast(count(mu.b) > 0 as integer) as in_cycle from nd left join mu on mu.a = nd.account group by nd.account)"
 
-@query("graph_scc", _REC + "@txn, @split, " + _ET + ", reach as (select sender as a, receiver as b from edges union select r.a, e.receiver from reach r join edges e on e.sender = r.b), nd as (select sender as a from edges union select receiver from edges), mu as (select f.a, f.b from reach f join reach g on f.a = g.b and f.b = g.a where f.a <> f.b), x as (select nd.a as account, 1 + count(mu.b) as scc_size, cast(count(mu.b) > 0 as integer) as in_cycle from nd left join mu on mu.a = nd.a group by nd.a)", "", "in_cycle")
+
+@query("graph_scc", _REC + "@txn, @split, " + _ET + ", reach as (select sender as a, receiver as b from edges union select r.a, e.receiver from reach r join edges e on e.sender = r.b), nd as (select sender as account from edges union select receiver from edges), " + _SCC + ", x as (select * from scc)", "", "in_cycle")
 def _(s, d):
     return graph.strong_components(_train_edges(s, d))
 
 
-@query("graph_account_table")
+_MUTUAL = "mutual as (select a.sender as ms, a.receiver as mr from edges a join edges b on a.sender = b.receiver and a.receiver = b.sender)"
+_ACC = (
+    _ET + ", " + _DEG + ", " + _PR + ", " + _core_sql("edges") + _REP + _core_sql("rep", "r") + ", " + _wcc_sql("edges", "wcc") + ", " + _wcc_sql("core", "cwcc") + ", " + _SCC + ", " + _MUTUAL + ", "
+    "acc as (select deg.*, pr.g_pagerank_x1000, wcc.size as g_component_size, cast(cn1.a is not null as integer) as g_in_cycle, coalesce(cwcc.size, 0) as g_core_component_size, scc.scc_size as g_nx_scc_size, "
+    "wcc.size as g_nx_component_size, cast(cn2.a is not null as integer) as g_in_repeat_cycle from deg left join pr using (account) left join wcc using (account) left join cwcc using (account) left join scc using (account) "
+    "left join (select sender as a from core union select receiver from core) cn1 on cn1.a = account left join (select sender as a from rcore union select receiver from rcore) cn2 on cn2.a = account)"
+)
+_ACCL = _DEGL + " g_component_size g_in_cycle g_core_component_size g_nx_scc_size g_nx_component_size g_in_repeat_cycle"
+
+
+def _thousandths(df: DataFrame) -> DataFrame:
+    return df.withColumn("g_pagerank", F.col("g_pagerank") * 1000).withColumnRenamed("g_pagerank", "g_pagerank_x1000")
+
+
+@query("graph_account_table", _REC + "@txn, @split, " + _ACC + ", x as (select * from acc)", _DEGD + " g_pagerank_x1000", _ACCL)
+def _(s, d):
+    return _thousandths(graph.fit_accounts(f.time_split(txn(s, d)).where("period = 'train'"))[0])
+
+
+@query("graph_meta", _REC + "@txn, @split, " + _ACC + ", x as (select (select count(*) from acc) as n_accounts, (select sum(g_in_cycle) from acc) as n_accounts_in_cycle, (select sum(g_in_repeat_cycle) from acc) as n_accounts_in_repeat_cycle, (select count(*) from edges) as n_edges_train, (select count(*) from core) as n_core_edges, (select count(*) from mutual) as n_mutual_pairs)", "", "n_accounts_in_cycle n_accounts_in_repeat_cycle")
+def _(s, d):
+    return graph.fit_graph(f.time_split(txn(s, d)).where("period = 'train'")).meta()
+
+
+_EGO = "eg0 as (select min(sender) as a from core), ends as (select sender as a, receiver as b from core union select receiver, sender from core), h1 as (select a, min(hop) as hop from (select a, 0 as hop from eg0 union all select b, 1 from ends where a in (select a from eg0)) group by a order by min(hop), a limit 40), h2 as (select a, min(hop) as hop from (select * from h1 union all select b, 2 from ends where a in (select a from h1)) group by a order by min(hop), a limit 40), x as (select sender, receiver from core where sender in (select a from h2) and receiver in (select a from h2))"
+
+
+@query("ego_network", _REC + "@txn, @split, " + _ET + ", " + _core_sql("edges") + ", " + _EGO)
 def _(s, d):
-    """Its parts have SQL of their own under the graph_ names; tests compare this table with them."""
-    return graph.fit_accounts(f.time_split(txn(s, d)).where("period = 'train'"))[0]
+    """The neighbourhood of the first account of the core, for drawing."""
+    core = graph.cyclic_core(_train_edges(s, d))
+    start = core.agg(F.min("sender")).first()[0]
+    return graph.ego_network(core, start or "")
+
+
+_GZERO = "g_in_cycle g_core_component_size g_in_repeat_cycle".split()
+_GONE = "g_component_size g_nx_scc_size g_nx_component_size".split()
+_APPLIED = (
+    "ga as (select sp.txn_id, " + ", ".join(f"a.{c}" for c in "g_out_degree g_in_degree g_total_degree g_degree_ratio g_out_amount_sum g_in_amount_sum g_pagerank_x1000".split())
+    + ", " + ", ".join([f"coalesce(a.{c}, 0) as {c}" for c in _GZERO] + [f"coalesce(a.{c}, 1) as {c}" for c in _GONE])
+    + ", cast(ms is not null as integer) as g_is_mutual_pair, coalesce(b.g_in_cycle, 0) as g_receiver_in_cycle from sp left join acc a on a.account = sender left join acc b on b.account = receiver left join mutual on ms = sender and mr = receiver)"
+)
+_GD = "g_degree_ratio g_out_amount_sum g_in_amount_sum g_pagerank_x1000"
+_GL = "g_out_degree g_in_degree g_total_degree g_in_cycle g_core_component_size g_component_size g_nx_scc_size g_nx_component_size g_in_repeat_cycle g_is_mutual_pair g_receiver_in_cycle"
 
 
-@query("graph_features_apply")
+@query("graph_features_apply", _REC + "@txn, @split, " + _ACC + ", " + _APPLIED + ", x as (select * from ga)", _GD, _GL)
 def _(s, d):
     t = f.time_split(txn(s, d))
-    return graph.apply_accounts(t, *graph.fit_accounts(t.where("period = 'train'"))).select("txn_id", *mx.GRAPH_FEATURES)
+    return _thousandths(graph.apply_accounts(t, *graph.fit_accounts(t.where("period = 'train'"))).select("txn_id", *mx.GRAPH_FEATURES))
 
 
-@query("feature_matrix")
+_CODED = ", ".join(f"v{i} as (select {c} as v, row_number() over (order by {c}) - 1 as code from (select distinct {c} from txn where {c} is not null))" for i, c in enumerate(f.CODED.values()))
+#: The features that are not columns of the views, profiles or accounts by their own names.
+_MADE = {
+    "amount_log": "ln(1 + amount)", "amount_pct_in_currency": "len(list_filter(grid, lambda v: v < amount)) * 100.0 / len(grid)", "amount_near_threshold": "cast(amount >= 9000 and amount < 10000 as integer)",
+    "amount_above_threshold": "cast(amount >= 10000 as integer)", "is_round_100": "cast(round(amount, 2) % 100 = 0 as integer)", "is_round_1000": "cast(round(amount, 2) % 1000 = 0 as integer)",
+    "is_cross_border": "cast(sender_loc is distinct from receiver_loc as integer)", "is_currency_mismatch": "cast(pay_currency is distinct from rec_currency as integer)",
+    "amount_to_sender_median": "amount / nullif(ps1.sender_median_amount, 0)", "amount_to_receiver_median": "amount / nullif(pr1.receiver_median_amount, 0)", "amount_zscore_sender": "(amount - ps1.sender_mean_amount) / nullif(ps1.sender_std_amount, 0)",
+    "amount_to_sender_max": "amount / nullif(ps1.sender_max_amount, 0)", "vel_amount_24h_to_median": "vel_amount_sum_24h / nullif(ps1.sender_median_amount, 0)", "is_new_pair": "cast(pairs.s is null as integer)",
+} | {k: f"coalesce(v{i}.code, -1)" for i, k in enumerate(f.CODED)} | {c: f"coalesce({c}, 0)" for c in ("pair_count", "pair_amount_sum", "pair_amount_mean")}
+
+
+def _made(c: str) -> str:
+    return _MADE.get(c) or (f"ps1.{c}" if c.startswith("sender_") else f"pr1.{c}" if c.startswith("receiver_") else f"vel.{c}")
+
+
+_MXD = [c for c in mx.FEATURES if c == "amount_log" or "amount" in c and "threshold" not in c and "log" not in c or c in ("sender_txn_per_active_day", "sender_share_above_threshold", "amount_zscore_sender")]
+_MXL = [c for c in mx.FEATURES if c not in _MXD]
+_FULL = (
+    _REC + "@txn, @split, " + _VSP + ", " + _PROF.replace("pr as (", "prr as (").replace("full join pr using", "full join prr using") + ", " + _PAIRS + ", " + _GRID + ", " + _CODED + ", " + _ACC + ", " + _APPLIED
+    + ", mat as (select vel.txn_id, " + ", ".join(f"{_made(c)} as {c}" for c in mx.FEATURES) + ", " + ", ".join(f"ga.{c}" for c in (_GD + " " + _GL).split()) + ", vel.is_laundering, vel.period from vel left join prof ps1 on ps1.account = sender left join prof pr1 on pr1.account = receiver left join pairs on pairs.s = sender and pairs.r = receiver left join gr on c = pay_currency "
+    + " ".join(f"left join v{i} on v{i}.v = vel.{c}" for i, c in enumerate(f.CODED.values())) + " join ga on ga.txn_id = vel.txn_id)"
+)
+
+
+@query("feature_matrix", _FULL + ", x as (select * from mat)", " ".join(_MXD) + " " + _GD, " ".join(_MXL) + " " + _GL + " is_laundering")
 def _(s, d):
-    return mx.matrix(s, d).select("txn_id", *mx.FEATURES, *mx.GRAPH_FEATURES, "is_laundering", "period")
+    return _thousandths(mx.matrix(s, d).select("txn_id", *mx.FEATURES, *mx.GRAPH_FEATURES, "is_laundering", "period"))
+
+
+@query("feature_build", _FULL + ", x as (select period, count(*) as n, sum(amount_log) as amount_log, sum(vel_count_24h) as vel_count_24h, sum(g_in_cycle) as g_in_cycle, count(amount_zscore_sender) as n_zscore, sum(is_new_pair) as n_new_pairs from mat group by period)", "amount_log", "vel_count_24h g_in_cycle n_new_pairs")
+def _(s, d):
+    """The job: matrix and rulers written, and the matrix read back."""
+    out = new_path(s, "matrix")
+    mx.build_and_save(txn(s, d), out)
+    m = load_periods(s, f"{out}/matrix", ["train", "val", "test"], ["period", "amount_log", "vel_count_24h", "g_in_cycle", "amount_zscore_sender", "is_new_pair"])
+    return m.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_log").alias("amount_log"), F.sum("vel_count_24h").alias("vel_count_24h"), F.sum("g_in_cycle").alias("g_in_cycle"), F.count("amount_zscore_sender").alias("n_zscore"), F.sum("is_new_pair").alias("n_new_pairs"))
 
 
 # --- rules --------------------------------------------------------------------------------------------------------------
 
-# The rules run on the matrix without the loops of the graph: degrees, mutual pairs and the rest are built in.
-_RULED = """@txn, @split, """ + _VSP + ", " + _PROF + ", " + _PAIRS + ", " + _GRID + ", " + _ET + ", " + _DEG + """,
-mu as (select a.sender as ms, a.receiver as mr from edges a join edges b on a.sender = b.receiver and a.receiver = b.sender),
+_BOOK = rules.default_rule_book()
+_NAMES = [r.name for r in _BOOK]
+_RULED = _REC + """@txn, @split, """ + _VSP + ", " + _PROF + ", " + _PAIRS + ", " + _GRID + ", " + _ET + ", " + _DEG + _REP + _core_sql("rep", "r") + ", " + _MUTUAL + """,
+rn0 as (select sender as ra from rcore union select receiver from rcore),
 mat as (select vel.*, cast(amount >= 9000 and amount < 10000 as integer) as near, cast(amount >= 10000 as integer) as above, vel_amount_sum_24h / nullif(sender_median_amount, 0) as v24, (amount - sender_mean_amount) / nullif(sender_std_amount, 0) as zs,
-  g_out_degree as od, g_in_degree as ind, g_degree_ratio as dr, cast(ms is not null as integer) as mutual, cast(pairs.s is null as integer) as newp, len(list_filter(grid, lambda v: v < amount)) * 100.0 / len(grid) as pct
-  from vel left join prof on prof.account = sender left join deg on deg.account = sender left join mu on ms = sender and mr = receiver left join pairs on pairs.s = sender and pairs.r = receiver left join gr on c = pay_currency),
-th as (select quantile_cont(v24, 0.99) as t5, quantile_cont(zs, 0.99) as t6, quantile_cont(od, 0.95) as t7, quantile_cont(ind, 0.95) as t8, quantile_cont(dr, 0.99) as t13 from mat where period = 'train'),
+  g_out_degree as od, g_in_degree as ind, g_total_degree as td, g_degree_ratio as dr, cast(ms is not null as integer) as mutual, cast(ra is not null as integer) as rep, cast(pairs.s is null as integer) as newp, len(list_filter(grid, lambda v: v < amount)) * 100.0 / len(grid) as pct
+  from vel left join prof on prof.account = sender left join deg on deg.account = sender left join mutual on ms = sender and mr = receiver left join rn0 on ra = sender left join pairs on pairs.s = sender and pairs.r = receiver left join gr on c = pay_currency),
+th as (select quantile_cont(v24, 0.99) as t5, quantile_cont(zs, 0.99) as t6, quantile_cont(od, 0.95) as t7, quantile_cont(ind, 0.95) as t8, quantile_cont(td, 0.95) as t9, quantile_cont(dr, 0.99) as t13 from mat where period = 'train'),
 fl as (select txn_id, period, date, is_laundering, laundering_type, above = 1 as R1, near = 1 and vel_near_threshold_count_24h >= 2 as R2, vel_near_threshold_count_168h >= 3 as R3, vel_count_1h >= 3 as R4, coalesce(v24, 0) >= t5 as R5, coalesce(zs, 0) >= t6 as R6,
-  coalesce(od, 0) >= t7 as R7, coalesce(ind, 0) >= t8 as R8, mutual >= 1 as R10, newp = 1 and coalesce(pct, 0) >= 95 as R11, is_night = 1 and coalesce(pct, 0) >= 90 as R12, coalesce(dr, 1) >= t13 as R13 from mat, th),
-RN as (select *, cast(R1 as integer) + cast(R2 as integer) + cast(R3 as integer) + cast(R4 as integer) + cast(R5 as integer) + cast(R6 as integer) + cast(R7 as integer) + cast(R8 as integer) + cast(R10 as integer) + cast(R11 as integer) + cast(R12 as integer) + cast(R13 as integer) as risk_score from fl)"""
-_RULES = [r for r in rules.default_rule_book() if r.name != "R9"]
-_NAMES = [r.name for r in _RULES]
+  coalesce(od, 0) >= t7 as R7, coalesce(ind, 0) >= t8 as R8, coalesce(rep >= 1 and td >= t9, false) as R9, mutual >= 1 as R10, newp = 1 and coalesce(pct, 0) >= 95 as R11, is_night = 1 and coalesce(pct, 0) >= 90 as R12, coalesce(dr, 1) >= t13 as R13 from mat, th),
+RN as (select *, """ + " + ".join(f"cast({n} as integer)" for n in _NAMES) + """ as risk_score from fl)"""
+#: By application, folder and state of its tables: where the matrix that the rules read has been stored.
+_RULE_TABLES: dict[tuple, str] = {}
+
+
+def _rule_matrix(s, d) -> DataFrame:
+    """What the rules read, a row per transaction; made once for a folder, as long as its tables stay as they are."""
+    key = (s.sparkContext.applicationId, shared_dir(s), state(s, f"{d}/events.parquet"), state(s, f"{d}/nation.parquet"))
+    if key not in _RULE_TABLES:
+        t = f.time_split(txn(s, d))
+        with scratch() as keep:
+            train = stored(t.where("period = 'train'"), "train")
+            df = f.amount_flags(f.apply_pairs(f.apply_percentiles(f.apply_profiles(f.velocity(t), f.fit_profiles(train)), f.fit_percentiles(train)), f.fit_pairs(train)))
+            df = df.withColumn("vel_amount_24h_to_median", ratio(F.col("vel_amount_sum_24h"), F.col("sender_median_amount")))
+            edges = stored(graph.edge_list(train), "edges")
+            repeat = graph.core_nodes(graph.cyclic_core(edges.where("n_txn >= 2"))).select(F.col("account").alias("__c"), F.lit(1).alias("g_in_repeat_cycle"))
+            deg = graph.degrees(edges).withColumnRenamed("account", "__a").join(repeat, F.col("__a") == F.col("__c"), "left").drop("__c")
+            mu = graph.mutual_pairs(edges).select(F.col("sender").alias("__s"), F.col("receiver").alias("__r"), "g_is_mutual_pair")
+            df = df.join(deg, F.col("sender") == F.col("__a"), "left").join(mu, (F.col("sender") == F.col("__s")) & (F.col("receiver") == F.col("__r")), "left").na.fill(0, ["g_is_mutual_pair", "g_in_repeat_cycle"])
+            df = keep(stored(df.select("txn_id", "period", "date", "is_laundering", "laundering_type", *sorted({c for r in _BOOK for c in r.needs})), "rule-matrix"))
+        _RULE_TABLES[key] = df._tidewatch_path
+    return s.read.parquet(_RULE_TABLES[key])
 
 
 def _ruled(s, d) -> tuple[DataFrame, list[rules.Rule]]:
-    t = f.time_split(txn(s, d))
-    train = t.where("period = 'train'")
-    df = f.amount_flags(f.apply_pairs(f.apply_percentiles(f.apply_profiles(f.velocity(t), f.fit_profiles(train)), f.fit_percentiles(train)), f.fit_pairs(train)))
-    df = df.withColumn("vel_amount_24h_to_median", ratio(F.col("vel_amount_sum_24h"), F.col("sender_median_amount")))
-    edges = graph.edge_list(train)
-    deg = graph.degrees(edges).withColumnRenamed("account", "__a")
-    mu = graph.mutual_pairs(edges).select(F.col("sender").alias("__s"), F.col("receiver").alias("__r"), "g_is_mutual_pair")
-    df = df.join(deg, F.col("sender") == F.col("__a"), "left").join(mu, (F.col("sender") == F.col("__s")) & (F.col("receiver") == F.col("__r")), "left").withColumn("g_is_mutual_pair", F.coalesce("g_is_mutual_pair", F.lit(0)))
-    keep = ["txn_id", "period", "date", "is_laundering", "laundering_type", "amount_above_threshold", "amount_near_threshold", "vel_near_threshold_count_24h", "vel_near_threshold_count_168h", "vel_count_1h", "vel_amount_24h_to_median", "amount_zscore_sender", "g_out_degree", "g_in_degree", "g_degree_ratio", "g_is_mutual_pair", "is_new_pair", "amount_pct_in_currency", "is_night"]
-    df = stored(df.select(*keep), "rule-matrix")
-    book = rules.fit_rules(df.where("period = 'train'"), _RULES)
+    df = _rule_matrix(s, d)
+    book = rules.fit_rules(df.where("period = 'train'"), _BOOK)
     return rules.apply_rules(df, book), book
 
 
-@query("rule_thresholds", _RULED + ", x as (" + " union all ".join(f"select '{n}' as rule, t{n[1:]} as threshold from th" for n in ("R5", "R6", "R7", "R8", "R13")) + ")", "threshold")
+@query("rule_thresholds", _RULED + ", x as (" + " union all ".join(f"select '{n}' as rule, t{n[1:]} as threshold from th" for n in ("R5", "R6", "R7", "R8", "R9", "R13")) + ")", "threshold")
 def _(s, d):
     return s.createDataFrame([(r.name, float(r.threshold)) for r in _ruled(s, d)[1] if r.threshold is not None], "rule string, threshold double")
 
@@ -714,18 +841,18 @@ def _(s, d):
     return rules.rule_metrics(df.where("period <> 'train'"), book)
 
 
-_CURVE = _RULED + _EVAL + ", cf as (" + " union all ".join(_conf_sql(str(k), f"risk_score >= {k}", "ev") for k in range(1, 13)) + "), " + _CONF.replace("x as (select name,", "x0 as (select cast(name as integer) as k,")
+_CURVE = _RULED + _EVAL + ", cf as (" + " union all ".join(_conf_sql(str(k), f"risk_score >= {k}", "ev") for k in range(1, 14)) + "), " + _CONF.replace("x as (select name,", "x0 as (select cast(name as integer) as k,")
 
 
 @query("score_curve", _CURVE + ", x as (select * from x0)", _MD, "k")
 def _(s, d):
-    return rules.score_curve(_ruled(s, d)[0].where("period <> 'train'"), 12)
+    return rules.score_curve(_ruled(s, d)[0].where("period <> 'train'"))
 
 
 @query("best_k", _CURVE.replace("period <> 'train'", "period = 'val'") + ", b as (select k from x0 where f1 is not null order by f1 desc, k limit 1), tt as (select * from RN where period = 'test'), x as (select (select k from b) as k, count(*) filter (risk_score >= (select k from b)) as alerts, count(*) filter (risk_score >= (select k from b) and is_laundering = 1) as tp from tt)", "", "k")
 def _(s, d):
     df, _ = _ruled(s, d)
-    best = rules.score_curve(df.where("period = 'val'"), 12).where("f1 is not null").orderBy(F.desc("f1"), "k").first()
+    best = rules.score_curve(df.where("period = 'val'")).where("f1 is not null").orderBy(F.desc("f1"), "k").first()
     k = best["k"] if best else 1
     hit = F.col("risk_score") >= k
     return df.where("period = 'test'").agg(F.lit(k).alias("k"), F.count_if(hit).alias("alerts"), F.count_if(hit & (F.col("is_laundering") == 1)).alias("tp"))
@@ -746,18 +873,150 @@ def _(s, d):
     return rules.workload(rules.daily_alerts(_ruled(s, d)[0].where("period <> 'train'"), F.col("risk_score") >= 2))
 
 
-@query("strategy_comparison", _RULED + _EVAL + ", cf as (" + " union all ".join(_conf_sql(n, c, "ev") for n, c in (("all", "true"), ("any_rule", "risk_score > 0"), ("threshold_only", "R1"), ("k4", "risk_score >= 4"))) + "), " + _CONF, _MD)
-def _(s, d):
-    return rules.metrics_of(_ruled(s, d)[0].where("period <> 'train'"), {"all": F.lit(True), "any_rule": F.col("any_rule"), "threshold_only": F.col("R1"), "k4": F.col("risk_score") >= 4})
+#: Rows of a random 1 %: a hash of the row's id, the same in every run.
+_LUCKY = "cast('0x' || substr(md5(cast(txn_id as varchar)), 1, 13) as bigint) < 45035996273704"
+_BITS = "(values " + ", ".join(f"('{n}', {1 << i})" for i, n in enumerate(_NAMES)) + ")"
+_GREEDY = (
+    ", va as (select *, " + " + ".join(f"cast({n} as integer) * {1 << i}" for i, n in enumerate(_NAMES)) + " as mask from RN where period = 'val'), cube as (select mask as k, count(*) as c, sum(is_laundering) as p from va group by mask), "
+    "bits as (select * from " + _BITS + " b(rule, bit)), budget as (select cast(floor(count(*) * {share}) as bigint) as most from va), "
+    "gr0 as (select 0 as step, 0 as m, cast(0 as hugeint) as alerts, cast(0 as hugeint) as tp, '' as rule union all select step, m, alerts, tp, rule from ("
+    "select *, row_number() over (order by gain / cost desc, gain desc, rule desc) as pick from (select g.step + 1 as step, g.m + b.bit as m, b.rule, coalesce(sum(cube.c) filter (cube.k & (g.m | b.bit) <> 0), 0) as alerts, coalesce(sum(cube.p) filter (cube.k & (g.m | b.bit) <> 0), 0) as tp, "
+    "cast(coalesce(sum(cube.p) filter (cube.k & (g.m | b.bit) <> 0), 0) - any_value(g.tp) as double) as gain, greatest(coalesce(sum(cube.c) filter (cube.k & (g.m | b.bit) <> 0), 0) - any_value(g.alerts), 1) as cost "
+    "from gr0 g, bits b, cube where g.m & b.bit = 0 and g.step < 6 group by g.step, g.m, b.rule, b.bit), budget where alerts <= most) where pick = 1), "
+    "greedy as (select step, rule, alerts, tp from gr0 where step > 0)"
+)
+_SHARE = 0.05
+_GREEDY = _GREEDY.replace("{share}", str(_SHARE))
+
 
+def _chosen(df: DataFrame, book: list[rules.Rule]) -> list[dict]:
+    return rules.greedy_select(df.where("period = 'val'"), book, _SHARE)
 
-@query("greedy_rules")
+
+_BEST = ", cf0 as (" + " union all ".join(f"select {k} as k, count(*) filter (risk_score >= {k}) as a, count(*) filter (risk_score >= {k} and is_laundering = 1) as t from RN where period = 'val'" for k in range(1, 14)) + "), bk as (select coalesce((select k from cf0 where 2.0 * t / nullif(a + (select sum(is_laundering) from RN where period = 'val'), 0) is not null order by 2.0 * t / nullif(a + (select sum(is_laundering) from RN where period = 'val'), 0) desc, k limit 1), 1) as best)"
+_ANY = " or ".join(f"({n} and (select count(*) from greedy where rule = '{n}') > 0)" for n in _NAMES)
+_STRATEGIES = (("all", "true"), ("any_rule", "risk_score > 0"), ("threshold_only", "R1"), ("k4", "risk_score >= 4"), ("random_1_pct", _LUCKY), ("best_k", "risk_score >= (select best from bk)"), ("chosen_set", "chosen"))
+
+
+@query("strategy_comparison", _RULED + _GREEDY + _BEST + ", sel as (select *, " + _ANY + " as chosen from RN), " + ", ".join(f"ev_{p} as (select * from sel where period = '{p}')" for p in ("val", "test"))
+       + ", cf as (" + " union all ".join(_conf_sql(f"{p}:{n}", c, f"ev_{p}") for p in ("val", "test") for n, c in _STRATEGIES) + "), " + _CONF, _MD)
 def _(s, d):
+    """The strategies on val, where the best score and the set of rules were chosen, and on test."""
     df, book = _ruled(s, d)
-    got = rules.greedy_select(df.where("period = 'val'"), book, 0.05)
+    best = rules.score_curve(df.where("period = 'val'")).where("f1 is not null").orderBy(F.desc("f1"), "k").first()
+    picked = [F.col(r["rule"]) for r in _chosen(df, book)]
+    lucky = F.conv(F.substring(F.md5(F.col("txn_id").cast("string").cast("binary")), 1, 13), 16, 10).cast("long") < 45035996273704
+    alerts = {"all": F.lit(True), "any_rule": F.col("any_rule"), "threshold_only": F.col("R1"), "k4": F.col("risk_score") >= 4, "random_1_pct": lucky, "best_k": F.col("risk_score") >= (best["k"] if best else 1), "chosen_set": functools.reduce(lambda a, b: a | b, picked, F.lit(False))}
+    parts = [rules.metrics_of(df.where(F.col("period") == p), {f"{p}:{k}": m for k, m in alerts.items()}) for p in ("val", "test")]
+    return parts[0].unionAll(parts[1])
+
+
+@query("greedy_rules", _RULED + _GREEDY + ", x as (select cast(step as bigint) as step, rule, cast(alerts as bigint) as alerts, cast(tp as bigint) as tp from greedy)")
+def _(s, d):
+    got = _chosen(*_ruled(s, d))
     return s.createDataFrame([(r["step"], r["rule"], r["alerts"], r["tp"]) for r in got], "step int, rule string, alerts long, tp long")
 
 
-@query("synthetic_counts")
+# --- sources, sinks and streams -----------------------------------------------------------------------------------------
+
+def _raw(s, d) -> DataFrame:
+    """The transactions as a raw table: twelve columns, date and time as text."""
+    back = {v: k for k, v in NAMES.items()}
+    t = txn(s, d).withColumns({"Date": F.date_format("date", "yyyy-MM-dd"), "Time": F.concat_ws(":", *[F.lpad(F.col(c).cast("string"), 2, "0") for c in ("hour", "minute")], F.lit("00"))})
+    return t.withColumnsRenamed(back).select(*[n for n, _ in RAW])
+
+
+_PREPARED = "select sender, receiver, amount, pay_currency, rec_currency, sender_loc, receiver_loc, payment_type, is_laundering, laundering_type, cast(date as varchar) as date, month, day, day_of_week, is_weekend, hour, minute, is_night, epoch"
+
+
+@query("raw_csv_prepared", "@txn, x as (" + _PREPARED + " from txn)", "amount", "is_laundering month day day_of_week is_weekend hour minute is_night")
+def _(s, d):
+    """A raw CSV found, read, typed, prepared and cached, and the cache read."""
+    at = new_path(s, "raw")
+    _raw(s, d).write.option("header", True).csv(f"{at}/csv")
+    load_dataset(s, f"{at}/csv", f"{at}/cache")
+    out = load_dataset(s, f"{at}/csv", f"{at}/cache")
+    return out.select("sender", "receiver", "amount", "pay_currency", "rec_currency", "sender_loc", "receiver_loc", "payment_type", "is_laundering", "laundering_type", "date", "month", "day", "day_of_week", "is_weekend", "hour", "minute", "is_night", "epoch")
+
+
+@query("mixed_calendar", "@txn, y as (select *, txn_id % 3 as m from txn), x as (select txn_id, cast(date as varchar) as date, hour, minute, is_night from y)", "", "hour minute is_night")
+def _(s, d):
+    """Dates in three formats and times in two, parsed row by row."""
+    t = txn(s, d)
+    m = F.col("txn_id") % 3
+    date = F.when(m == 0, F.date_format("date", "yyyy-MM-dd")).when(m == 1, F.date_format("date", "yyyyMMdd")).otherwise(F.date_format("date", "dd.MM.yyyy"))
+    two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
+    t = t.select("txn_id", date.alias("Date"), F.concat_ws(":", two("hour"), two("minute"), *[F.when(m == 0, F.lit("00"))]).alias("Time"))
+    return calendar.add_time_features(t).select("txn_id", "date", "hour", "minute", "is_night")
+
+
+@query("periods_scan", "@txn, @split, x as (select period, count(*) as n, sum(amount) as amount from sp where period in ('val', 'test') group by period)", "amount")
+def _(s, d):
+    """A table saved by period, two periods and two columns of it read."""
+    at = new_path(s, "periods")
+    save_table(f.time_split(txn(s, d)).select("txn_id", "sender", "amount", "is_laundering", "period"), at, ["period"])
+    return load_periods(s, at, ["val", "test"], ["period", "amount"]).groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+
+
+@query("csv_append", "@txn, g as (select is_laundering, count(*) as n, max(amount) as top from txn group by 1), x as (select is_laundering, n, top, 2 as times from g)", "top", "is_laundering times")
+def _(s, d):
+    """The same rows appended to a CSV twice."""
+    at = new_path(s, "appended")
+    rows = txn(s, d).groupBy("is_laundering").agg(F.count(F.lit(1)).alias("n"), F.max("amount").alias("top"))
+    for _ in range(2):
+        append_csv(rows, at)
+    back = s.read.schema("is_laundering int, n long, top double").option("header", True).csv(at)
+    return back.groupBy("is_laundering", "n", "top").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query("report", "@txn, x as (select '# Summary' as line union all select '' union all select '- **rows**: ' || (select count(*) from txn) union all select '- **positive**: ' || (select sum(is_laundering) from txn))")
+def _(s, d):
+    """A Markdown report, written and read as text."""
+    at = new_path(s, "report") + ".md"
+    n, x = lift.base_rate(txn(s, d))
+    write_report(s, at, "Summary", [("rows", n), ("positive", x)])
+    return s.read.text(at).select(F.col("value").alias("line"))
+
+
+@query("sample_rows", "@txn, x as (select txn_id, amount from txn where " + _LUCKY.replace("45035996273704", "450359962737049") + ")", "amount")
+def _(s, d):
+    return sample_rows(txn(s, d), "txn_id", 0.1).select("txn_id", "amount")
+
+
+@query("log_histogram", "@txn, x as (select is_laundering, cast(floor(log10(greatest(amount, 0.01)) * 10) as bigint) as bin, count(*) as n from txn group by 1, 2)", "", "is_laundering")
+def _(s, d):
+    return lift.log_histogram(txn(s, d), "amount", ["is_laundering"])
+
+
+_BY_HOUR = "select sender, cast(date_trunc('hour', ts) as varchar) as hour, count(*) as n, sum(amount) as amount_sum from txn group by 1, 2"
+
+
+@query("stream_hourly_bursts", "@txn, y as (" + _BY_HOUR + "), x as (select * from y where n >= 2)", "amount_sum")
+def _(s, d):
+    """The transactions as a stream of files, all of them, to the end."""
+    return alerts.drained(s, _timed(s, d), lambda t: alerts.hourly_bursts(t, least=2), "complete").withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_daily_counts", "@txn, x as (select sender, cast(cast(ts as date) as varchar) as day, count(*) as n from txn group by 1, 2)")
+def _(s, d):
+    return alerts.drained(s, _timed(s, d), alerts.daily_counts, "complete").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("stream_rulers", "@txn, @split, " + _PROF + ", " + _PAIRS + ", x as (select txn_id, amount / nullif(sender_median_amount, 0) as amount_to_sender_median, coalesce(pair_count, 0) as pair_count, cast(pairs.s is null as integer) as is_new_pair from sp left join prof on prof.account = sender left join pairs on pairs.s = sender and pairs.r = receiver)", "amount_to_sender_median", "is_new_pair")
+def _(s, d):
+    """Rulers fitted on the training period, joined to a stream of all transactions."""
+    train = f.time_split(txn(s, d)).where("period = 'train'")
+    profiles, pairs = stored(f.fit_profiles(train), "profiles"), stored(f.fit_pairs(train), "pairs")
+    return alerts.drained(s, _timed(s, d), lambda t: alerts.apply_rulers(t, profiles, pairs), "append").select("txn_id", "amount_to_sender_median", "pair_count", "is_new_pair")
+
+
+def _timed(s, d) -> DataFrame:
+    return txn(s, d).withColumn("ts", F.timestamp_seconds("epoch"))
+
+
+_KINDS = ", ".join(f"('{k}', {n})" for k, n in TYPOLOGIES.items())
+
+
+@query("synthetic_counts", f"y as (select * from (values {_KINDS}) v(k, n)), x as (select k as Laundering_type, n, n as full_size from y union all select null, {N_TOTAL} - (select sum(n) from y), null)", "", "n full_size")
 def _(s, d):
     return generate(s, seed=1).groupBy("Laundering_type").agg(F.count(F.lit(1)).alias("n")).withColumn("full_size", F.element_at(F.create_map(*[F.lit(x) for kv in TYPOLOGIES.items() for x in kv]), F.col("Laundering_type")))
