@@ -3,7 +3,7 @@
 1. Each text gets a MinHash signature of its set of word 5-grams, cut into bands; texts of one set are one node.
 2. Nodes that share a band hash are candidates. They are not listed: each joins the least node of its bucket, and the connected
    components of that hold every candidate pair.
-3. A component is cut into blocks; a task gets two blocks with their full sets, compares those pairs that share a band,
+3. A component is cut into blocks, bounded in sets and bytes; a task gets two blocks with their full sets, compares those pairs that share a band,
    and returns counts of links and edges that span each group, never the pairs.
 4. The components of those edges are the classes.
 """
@@ -22,8 +22,8 @@ from tidewatch.llm.common import bounded_batches, partitions, release, small_sid
 from tidewatch.operators.components import components
 
 SIZE = 5
-#: Nodes of a block.
-BLOCK = 512
+#: Nodes of a block, and bytes of their sets, on average; a task gets two blocks. A larger set is a block of its own.
+BLOCK, BLOCK_BYTES = 512, 48 << 20
 _M64 = (1 << 64) - 1
 
 
@@ -97,7 +97,8 @@ def links_and_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0
     Two documents link if the Jaccard similarity of their sets of word n-grams is at or above the threshold (a text of fewer than n words is
     one n-gram; texts without words, null and empty ones among them, link with nothing). n_links: the other rows a row links with;
     n_copies: the rows with the very same set, itself included; class_id: the least doc_id reachable by links. Rows with a null doc_id
-    link with nothing and have a null class_id. A pair at the threshold is a candidate with the given recall, and one above with more.
+    link with nothing and have a null class_id. A pair at the threshold is a candidate with the given recall, and one above with more. Very long texts are compared whole;
+    an empty table gives none; other columns of docs are not read, whatever their names.
     """
     bands, rows = bands_for(threshold, recall)
     bounded_batches(docs.sparkSession)
@@ -109,14 +110,14 @@ def links_and_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0
             out = []
             for w in _arrays(df["w"]):
                 s = shingles(w, size)
-                out.append((set_key(s), signer(s).tobytes()) if len(s) else (None, None))
-            yield pd.DataFrame({"doc_id": df["doc_id"].astype("Int64"), "key": [k for k, _ in out], "bands": [b for _, b in out]})
+                out.append((set_key(s), signer(s).tobytes(), len(s)) if len(s) else (None, None, 0))
+            yield pd.DataFrame({"doc_id": df["doc_id"].astype("Int64"), "key": [k for k, _, _ in out], "bands": [b for _, b, _ in out], "size": [n for _, _, n in out]})
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(base.select("doc_id", _word_hashes(F.col("text")).alias("w")).mapInPandas(tidy(sign), "doc_id long, key binary, bands binary"), "signatures")
+    signed = stored(base.select("doc_id", _word_hashes(F.col("text")).alias("w")).mapInPandas(tidy(sign), "doc_id long, key binary, bands binary, size long"), "signatures")
     usable = signed.where("key is not null and doc_id is not null")
     # A node is a set; its id is the least doc_id with it. Ids stay apart unless a doc_id repeats with other texts: those are one node for classes, and count as rows.
-    nodes = stored(usable.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands")), "sets")
+    nodes = stored(usable.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"), F.min("size").alias("n_grams")), "sets")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -142,27 +143,29 @@ def links_and_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0
 
 def _verify(base: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, size: int, bands: int) -> DataFrame:
     """(key, a, b, n): edges (a, b) spanning every group of links, and for each set with links the rows it links with (b null)."""
-    joined = nodes.join(groups, F.col("id") == F.col("node")).select("key", "id", "copies", "bands", F.col("component").alias("g"))
-    sizes = groups.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("size"))
+    joined = nodes.join(groups, F.col("id") == F.col("node")).select("key", "id", "copies", "bands", "n_grams", F.col("component").alias("g"))
+    sizes = joined.groupBy(F.col("g").alias("c")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n_grams") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("cut"))
     wanted = stored(joined.join(sizes, F.col("g") == F.col("c")).drop("c"), "candidate-nodes")
-    n = wanted.count()
+    n, grams = wanted.agg(F.count(F.lit(1)), F.sum("n_grams")).first()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for df in batches:
             s = [shingles(w, size) for w in _arrays(df["w"])]
             keep = np.array([set_key(x) == k for x, k in zip(s, df["key"], strict=True)], dtype=bool)
-            yield df[["key", "id", "copies", "bands", "g", "size"]].assign(set=[x.tobytes() for x in s])[keep]
+            yield df[["key"]].assign(set=[x.tobytes() for x in s])[keep]
 
-    texts = base.where("doc_id is not null").join(small_side(wanted.withColumnRenamed("id", "i")), F.col("doc_id") == F.col("i"))
-    texts = texts.select("key", F.col("i").alias("id"), "copies", "bands", "g", "size", _word_hashes(F.col("text")).alias("w"))
-    held = texts.mapInPandas(tidy(sets), "key binary, id long, copies long, bands binary, g long, size long, set binary").dropDuplicates(["key"])
+    # Only numbers and keys are looked up for the texts; the rest meets the sets by key, for which they are shuffled anyway.
+    texts = base.where("doc_id is not null").join(small_side(wanted.select(F.col("id").alias("i"), "key")), F.col("doc_id") == F.col("i"))
+    held = texts.select("key", _word_hashes(F.col("text")).alias("w")).mapInPandas(tidy(sets), "key binary, set binary").dropDuplicates(["key"])
+    held = held.join(wanted.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).drop("k", "n_grams")
     # Components within a block are packed several to a task; larger ones go by pairs of blocks.
-    cut = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    cut = F.col("cut")
     mine = F.pmod(F.xxhash64("key"), cut).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), cut - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"))))
-    bins = partitions(n, BLOCK)
+    bins = max(partitions(n, BLOCK), partitions((grams or 0) * 8, BLOCK_BYTES))
     held = held.withColumn("mine", mine).withColumn("pair", pair)
-    held = held.withColumn("task", F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("g"), F.lit(bins))).otherwise(F.col("g"))).withColumn("large", F.col("size") > BLOCK)
+    held = held.withColumn("task", F.when(cut == 1, F.pmod(F.xxhash64("g"), F.lit(bins))).otherwise(F.col("g"))).withColumn("large", cut > 1)
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
         large = bool(df["large"].iloc[0])
