@@ -23,7 +23,7 @@ from tidewatch.llm.common import small_side, words
 CHAIN = (("quality", 0), ("toxic", 1))
 BITS = 18
 FOLDS = 5
-#: Training: about this many labelled documents at most, chosen by the hash of their text; of each the distinct words.
+#: Training: about this many different labelled texts at most, chosen by their hash; of each the distinct words.
 TRAIN_DOCS = 6000
 #: Only words in this many training documents at least are learned.
 MIN_DOCS = 4
@@ -49,6 +49,10 @@ class Sparse:
     def t_dot(self, r: np.ndarray) -> np.ndarray:
         return np.concatenate([np.bincount(self.cols, weights=r[self.rows], minlength=self.d), self.extra.T @ r])
 
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """By column, the summed weight of the rows that have it."""
+        return np.bincount(self.cols, weights=weight[self.rows], minlength=self.d)
+
     def pick(self, keep: np.ndarray) -> Sparse:
         place = np.cumsum(keep) - 1
         m = keep[self.rows]
@@ -64,9 +68,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(x: Sparse, y: np.ndarray, l2: float = L2, rounds: int = 40, memory: int = 8) -> tuple[np.ndarray, float]:
-    """Weights and intercept by L-BFGS. One class only: a constant."""
-    p = (y.sum() + 0.5) / (len(y) + 1.0)
+def logistic(x: Sparse, y: np.ndarray, times: np.ndarray | None = None, l2: float = L2, rounds: int = 40, memory: int = 8) -> tuple[np.ndarray, float]:
+    """Weights and intercept by L-BFGS, each row counted `times`. One class only: a constant."""
+    times = np.ones(len(y)) if times is None else times
+    p = (times @ y + 0.5) / (times.sum() + 1.0)
     w = np.zeros(x.d + x.extra.shape[1] + 1)
     w[-1] = np.log(p / (1 - p))
     if y.min() == y.max():
@@ -74,8 +79,8 @@ def logistic(x: Sparse, y: np.ndarray, l2: float = L2, rounds: int = 40, memory:
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = x.dot(w[:-1]) + w[-1]
-        value = np.logaddexp(0, z).sum() - (y * z).sum() + 0.5 * l2 * (w[:-1] ** 2).sum()
-        r = sigmoid(z) - y
+        value = times @ (np.logaddexp(0, z) - y * z) + 0.5 * l2 * (w[:-1] ** 2).sum()
+        r = times * (sigmoid(z) - y)
         g = np.append(x.t_dot(r), r.sum())
         g[:-1] += l2 * w[:-1]
         return value, g
@@ -108,11 +113,11 @@ def logistic(x: Sparse, y: np.ndarray, l2: float = L2, rounds: int = 40, memory:
     return w[:-1], w[-1]
 
 
-def telling(x: Sparse, y: np.ndarray, least: float) -> np.ndarray:
-    """Mask of the columns whose G squared against y is `least` or more."""
-    n, p = float(len(y)), float(y.sum())
-    df = np.bincount(x.cols, minlength=x.d).astype(float)
-    hit = np.bincount(x.cols, weights=y[x.rows], minlength=x.d)
+def telling(x: Sparse, y: np.ndarray, least: float, times: np.ndarray | None = None) -> np.ndarray:
+    """Mask of the columns whose G squared against y is `least` or more, each row counted `times`."""
+    times = np.ones(len(y)) if times is None else times
+    n, p = float(times.sum()), float(times @ y)
+    df, hit = x.counts(times), x.counts(times * y)
     total = np.zeros(x.d)
     for seen, expected in ((hit, df * p / n), (df - hit, df * (n - p) / n), (p - hit, (n - df) * p / n), (n - p - df + hit, (n - df) * (n - p) / n)):
         some = seen > 0
@@ -120,10 +125,10 @@ def telling(x: Sparse, y: np.ndarray, least: float) -> np.ndarray:
     return total >= least - 1e-9
 
 
-def fit_words(x: Sparse, y: np.ndarray, least: float) -> tuple[np.ndarray, float]:
+def fit_words(x: Sparse, y: np.ndarray, least: float, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """logistic() on the telling columns; the weights of the others are 0."""
-    cols = telling(x, y, least)
-    w, b = logistic(x.only(cols), y)
+    cols = telling(x, y, least, times)
+    w, b = logistic(x.only(cols), y, times)
     full = np.zeros(x.d + x.extra.shape[1])
     full[: x.d][cols] = w[: int(cols.sum())]
     full[x.d :] = w[int(cols.sum()) :]
@@ -144,13 +149,13 @@ class Chain:
         return out
 
 
-def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+def best_cut(p: np.ndarray, y: np.ndarray, times: np.ndarray) -> float:
     """The threshold of the best F1 on out-of-fold probabilities, halfway to the next lower one; 0.5 without positives."""
     if not y.any():
         return 0.5
     order = np.argsort(-p, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    hit = np.cumsum((times * y)[order])
+    f1 = 2 * hit / (np.cumsum(times[order]) + times @ y)
     ends = np.r_[p[order][1:] != p[order][:-1], True]
     at = int(np.argmax(np.where(ends, f1, -1)))
     below = p[order][at + 1] if at + 1 < len(p) else 0.0
@@ -160,19 +165,23 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
 def fit(labelled: DataFrame, chain: tuple[tuple[str, int], ...] = CHAIN, cap: int = TRAIN_DOCS) -> tuple[Chain, dict[str, float]]:
     """labelled (text and a column for each category) -> chain, and the out-of-fold F1 of each category.
 
-    Rows with a null text or category teach nothing. No rows: a chain that answers 0 everywhere.
+    Rows with a null text or category teach nothing. Equal texts with equal labels are one training row that counts as often as it occurs, so the driver gets
+    about `cap` rows whatever repeats. No rows: a chain that answers 0 everywhere.
     """
-    rows = labelled.dropna(subset=["text", *[c for c, _ in chain]])
-    n = rows.count()
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = rows.where(u < min(1.0, cap / max(1, n))).select(F.xxhash64("text").alias("h"), features(F.col("text")).alias("f"), *[(F.col(c) == v).cast("int").alias(c) for c, v in chain])
-    got = some.toPandas().sort_values("h", kind="stable").reset_index(drop=True)
+    marks = [(F.col(c) == v).cast("int").alias(c) for c, v in chain]
+    rows = labelled.dropna(subset=["text", *[c for c, _ in chain]]).select(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"), *marks)
+    n = rows.select("h").distinct().count()
+    u = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = rows.where(u < min(1.0, cap / max(1, n))).groupBy("h", *[c for c, _ in chain]).agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("times"))
+    some = some.select("h", features(F.col("text")).alias("f"), "times", *[c for c, _ in chain])
+    got = some.toPandas().sort_values(["h", *[c for c, _ in chain]], kind="stable").reset_index(drop=True)
     names = [c for c, _ in chain]
     if got.empty:
         return Chain(names, [np.zeros((1 << BITS) + k) for k in range(len(chain))], [-40.0] * len(chain), [0.5] * len(chain)), {}
     sizes = got["f"].map(len).to_numpy()
     row, col = np.repeat(np.arange(len(got)), sizes), np.concatenate([np.asarray(f, dtype=np.int64) for f in got["f"]] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
-    common = np.bincount(col, minlength=1 << BITS) >= min(MIN_DOCS, max(1, len(got) // 50))
+    times = got["times"].to_numpy(dtype=float)
+    common = np.bincount(col, weights=times[row], minlength=1 << BITS) >= min(MIN_DOCS, max(1, int(times.sum()) // 50))
     short = np.cumsum(common) - 1  # the learned words, renumbered
     keep = common[col]
     d = int(common.sum())
@@ -189,15 +198,15 @@ def fit(labelled: DataFrame, chain: tuple[tuple[str, int], ...] = CHAIN, cap: in
             for f in range(FOLDS):
                 rest = fold != f
                 if rest.any() and not rest.all():
-                    w, b = fit_words(x.pick(rest), y[rest], least)
+                    w, b = fit_words(x.pick(rest), y[rest], least, times[rest])
                     oof[~rest] = sigmoid(x.dot(w) + b)[~rest]
-            cut = best_cut(oof, y)
+            cut = best_cut(oof, y, times)
             said = oof >= cut
-            f1 = float(2 * (said & (y > 0)).sum() / max(1, said.sum() + y.sum()))
+            f1 = float(2 * (times @ (said & (y > 0))) / max(1.0, times @ said + times @ y))
             if best is None or f1 > best[0]:
                 best = f1, cut, oof, least
         report[name], cut, oof, least = best
-        w, b = fit_words(x, y, least)
+        w, b = fit_words(x, y, least, times)
         full = np.zeros((1 << BITS) + past.shape[1])
         full[np.flatnonzero(common)] = w[:d]
         full[1 << BITS :] = w[d:]
@@ -228,7 +237,9 @@ def predict(docs: DataFrame, model: Chain) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, int], ...] = CHAIN) -> DataFrame:
     """docs (doc_id, text) with labels (doc_id and the categories) -> docs + __tw_scores, __tw_flags (array<boolean>).
 
-    Labels of a doc_id that repeats teach once each. Labels without a document, and with a null doc_id, teach nothing.
+    Labels of a doc_id that repeats teach once each. Labels without a document, and with a null doc_id, teach nothing. Repeated rows, and texts with the
+    same words, get the same scores; a score equal to its category's cut is flagged. Null, empty and wordless texts are scored by the intercepts and never flagged.
+    Very long texts are read whole. An empty table gives none; without labels nothing is flagged. Other columns stay; their names may not start with __tw_.
     """
     marks = labels.where("doc_id is not null").select(F.col("doc_id").alias("__tw_id"), *[F.col(c).alias(c) for c, _ in chain])
     texts = docs.select(F.col("doc_id").alias("__tw_doc"), F.col("text").alias("text")).join(small_side(marks), F.col("__tw_doc") == F.col("__tw_id"))
