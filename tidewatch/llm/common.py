@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.sources.shared import BROADCAST_ROWS, discard, new_path, partitions, shared_dir, small_side, stored
+from tidewatch.sources.shared import BROADCAST_ROWS, discard, measured, new_path, partitions, shared_dir, small_side, stored
 
-__all__ = ["BROADCAST_ROWS", "NOT_WORD", "bounded_batches", "discard", "new_path", "partitions", "release", "shared_dir", "small_side", "stored", "tidy", "trim", "words"]
+__all__ = ["BROADCAST_ROWS", "NOT_WORD", "bounded_batches", "discard", "measured", "new_path", "partitions", "release", "shared_dir", "small_side", "stored", "tidy", "trim", "words"]
 
 #: Words are maximal runs of letters and digits, in lower case.
 NOT_WORD = r"[^\p{L}\p{N}]+"

@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency: a line that more than a given share of a host's pages hold is boilerplate there.
 
 Pages are counted by the hash of each line, in two sums (host and hash, then the few hashes above the ratio by their very text), so
-what is shuffled is a hash a line and no line is dropped for a collision.
+what is shuffled is a hash a line and no line is dropped for a collision. A line that only one page of a host holds repeats nothing and is never
+boilerplate, however few pages the host has.
 """
 
 from __future__ import annotations
@@ -9,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BROADCAST_ROWS, stored
+from tidewatch.llm.common import BROADCAST_ROWS, measured, small_side, stored
 
-#: A line is boilerplate on a host if over RATIO of the host's pages hold it, and at least PAGES do.
-RATIO, PAGES = 0.02, 5
+#: A line is boilerplate on a host if over RATIO of the host's pages hold it, and more than one page does.
+RATIO, PAGES = 0.02, 2
+#: Bytes of boilerplate lines that may be broadcast.
+LINE_BYTES = 16 << 20
 
 
 def _lines(text):
@@ -27,8 +30,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = PAGES) -> D
     often = each.groupBy("host", F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     totals = totals.select(F.col("host").alias("site"), "n_host")
     often = stored(often.join(totals, F.col("host").eqNullSafe(F.col("site"))).where(F.col("n") > F.lit(float(ratio)) * F.col("n_host")).select("h", F.col("host").alias("site"), "n_host"), "frequent-lines")
-    some = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
-    exact = each.join(some, (F.xxhash64("line") == F.col("h")) & F.col("host").eqNullSafe(F.col("site"))).groupBy("host", "line", "n_host").agg(F.count(F.lit(1)).alias("n_pages"))
+    exact = each.join(small_side(often), (F.xxhash64("line") == F.col("h")) & F.col("host").eqNullSafe(F.col("site"))).groupBy("host", "line", "n_host").agg(F.count(F.lit(1)).alias("n_pages"))
     return stored(exact.where((F.col("n_pages") >= least) & (F.col("n_pages") > F.lit(float(ratio)) * F.col("n_host"))).select("host", "line", "n_pages", "n_host"), "boilerplate")
 
 
@@ -36,26 +38,30 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = PAGES,
     """pages (id, host, text) -> id, host, text, n_lines, n_dropped; one row per row of pages, text without its host's boilerplate.
 
     The order of the other lines and their white space stay. A null text stays null with 0 lines; null hosts are one host. Repeated rows
-    are pages of their own. Lines are compared trimmed; blank ones stay.
+    are pages of their own. Lines are compared trimmed and whole, however long; blank ones stay. A line at the very ratio stays. An empty table gives none;
+    other columns of pages are not read, whatever their names.
     """
     bad = boilerplate(pages.select("host", "text"), ratio, least)
     base = pages.select("id", "host", "text")
-    if bad.count() <= limit:
-        by_host = bad.groupBy(F.col("host").alias("site")).agg(F.collect_list("line").alias("bad"))
-        out = base.join(F.broadcast(by_host), F.col("host").eqNullSafe(F.col("site")), "left").withColumn("bad", F.coalesce("bad", F.array().cast("array<string>")))
-        out = out.withColumn("ls", _lines(F.col("text"))).withColumn("kept", F.filter("ls", lambda x: ~F.array_contains(F.col("bad"), F.trim(x))))
-        n, m, text = F.size("ls"), F.size("kept"), F.array_join("kept", "\n")
+    rows, size = measured(bad)
+    if rows <= limit and size <= LINE_BYTES:
+        by_host = bad.groupBy(F.col("host").alias("site")).agg(F.collect_set("line").alias("bad"))
+        out = base.join(F.broadcast(by_host), F.col("host").eqNullSafe(F.col("site")), "left").withColumn("ls", _lines(F.col("text")))
+        # Only lines that a page shares with the list are compared one by one.
+        met = F.array_intersect(F.transform("ls", lambda x: F.trim(x)), F.col("bad"))
+        out = out.withColumn("met", F.coalesce(met, F.array().cast("array<string>"))).drop("bad")
+        out = out.withColumn("kept", F.when(F.size("met") == 0, F.col("ls")).otherwise(F.filter("ls", lambda x: ~F.array_contains(F.col("met"), F.trim(x)))))
     else:
-        # Too much for one machine: the lines of each page meet their host's by a shuffle on both, and the page is put together again.
-        flat = base.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "host", "text", F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
-        rows = base.withColumn("row", F.monotonically_increasing_id())
-        hit = flat.select("row", "host", "pos", "line").join(bad.select(F.col("host").alias("site"), F.col("line").alias("gone")), (F.trim("line") == F.col("gone")) & F.col("host").eqNullSafe(F.col("site")))
-        places = hit.groupBy(F.col("row").alias("r")).agg(F.collect_list("pos").alias("places"))
-        out = rows.join(places, F.col("row") == F.col("r"), "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+        # Too much for one machine: the lines of each page meet their host's by a shuffle on both, and the page is put together again. Rows are numbered
+        # once, in a stored table: numbers given twice could differ after a lost executor.
+        numbered = stored(base.withColumn("row", F.monotonically_increasing_id()), "pages")
+        flat = numbered.select("row", "host", F.posexplode_outer(_lines(F.col("text"))).alias("pos", "line"))
+        hit = flat.join(bad.select(F.col("host").alias("site"), F.col("line").alias("gone")), (F.trim("line") == F.col("gone")) & F.col("host").eqNullSafe(F.col("site")))
+        places = hit.groupBy(F.col("row").alias("r")).agg(F.collect_set("pos").alias("places"))
+        out = numbered.join(places, F.col("row") == F.col("r"), "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
         out = out.withColumn("ls", _lines(F.col("text"))).withColumn("kept", F.filter("ls", lambda x, i: ~F.array_contains(F.col("places"), i)))
-        n, m, text = F.size("ls"), F.size("kept"), F.array_join("kept", "\n")
-    null = F.col("text").isNull()
-    return out.select("id", "host", F.when(~null, text).alias("text"), F.when(null, 0).otherwise(n).alias("n_lines"), F.when(null, 0).otherwise(n - m).alias("n_dropped"))
+    null, n, m = F.col("text").isNull(), F.size("ls"), F.size("kept")
+    return out.select("id", "host", F.when(~null, F.array_join("kept", "\n")).alias("text"), F.when(null, 0).otherwise(n).alias("n_lines"), F.when(null, 0).otherwise(n - m).alias("n_dropped"))
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -69,7 +75,7 @@ with l as (select row_id, source, pos, line from (select row_number() over () as
 l0 as (select row_number() over () as row_id, * from documents),
 t as (select source, count(*) as n_host from documents group by source),
 f as (select l.source, trim(line) as k from l join t on l.source is not distinct from t.source where trim(line) <> '' group by l.source, trim(line), n_host
-      having count(distinct row_id) >= 5 and count(distinct row_id) > 0.02 * n_host)
+      having count(distinct row_id) >= 2 and count(distinct row_id) > 0.02 * n_host)
 select d.doc_id, d.source, case when d.text is null then null else coalesce(list_aggregate(kept, 'string_agg', chr(10)), '') end as text,
   case when d.text is null then 0 else len(string_split(d.text, chr(10))) end as n_lines, case when d.text is null then 0 else len(string_split(d.text, chr(10))) - len(kept) end as n_dropped
 from (select d.*, list_filter(string_split(coalesce(d.text, ''), chr(10)), lambda x: not list_contains(coalesce(b.bad, []), trim(x))) as kept
