@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import new_path
+from tidewatch.llm.common import new_path, small_side, stored
 
 CRLF = "\r\n"
 #: Payloads shorter than this are stored each time.
 REVISIT_BYTES = 100
+#: Bytes of an archive file before compression, about: so many pages of mean size.
+ARCHIVE_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -43,32 +45,38 @@ def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
     """pages (page_id, url, html) -> WARC files under path: three records a page.
 
     The payload is html in UTF-8 (null: empty). Of equal payloads of at least `least` bytes, that of the smallest page_id (null last; of
-    repeated rows the first in the table) is the response and the others are revisits that name it. Line breaks in a url become %0D or %0A; a null url is
-    about:blank. A null page_id is left out of the metadata.
+    repeated rows the first by the number that the stored table gives them) is the response and the others are revisits that name it. Line breaks in a url
+    become %0D or %0A; a null url is about:blank. A null page_id is left out of the metadata. Very long payloads are whole records; an empty table gives files without
+    records; other columns of pages are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("about:blank")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html"))
+    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("bytes", F.octet_length("html"))
     rows = rows.withColumn("url", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")))
+    # Rows are numbered once, in a stored table: numbers given twice could differ after a lost executor. Payloads are not shuffled after that.
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
     name = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest", F.col("row").cast("string"))
-    who = F.struct(F.col("page_id").isNull().alias("null"), "page_id", "row", name.alias("name"))
-    # Only digests that occur twice take part; a page of a frequent one is joined to one row, and such a key's pages can be split.
-    twice = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(who).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    rows = rows.withColumn("name", name).join(twice, F.col("digest") == F.col("d"), "left")
-    revisit = F.coalesce(F.col("first.row") != F.col("row"), F.lit(False))
+    narrow = rows.select("row", "page_id", "digest", "bytes", F.struct(F.col("page_id").isNull().alias("null"), "page_id", "row", name.alias("name")).alias("who"))
+    # Only digests that occur twice take part, and of their pages only numbers and names.
+    twice = narrow.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("who").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    again = narrow.join(small_side(twice), F.col("digest") == F.col("d")).where(F.col("first.row") != F.col("row")).select(F.col("row").alias("r"), F.col("first.page_id").alias("first_id"), F.col("first.name").alias("first_name"))
+    n, size = narrow.agg(F.count(F.lit(1)), F.sum(F.col("bytes").cast("long") + 1000)).first()
+    rows = rows.withColumn("name", name).join(small_side(stored(again, "revisits")), F.col("row") == F.col("r"), "left")
+    revisit = F.col("r").isNotNull()
     response = _urn(F.col("name"), "response")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
     target = ("WARC-Target-URI", F.col("url"))
     main = _header(
         F.when(revisit, "revisit").otherwise("response"), response, F.concat(http, F.when(revisit, "").otherwise(F.col("html"))), target, ("WARC-Payload-Digest", digest),
-        ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<"), _urn(F.col("first.name"), "response"), F.lit(">")))), ("WARC-Profile", F.when(revisit, PROFILE)), type_="application/http; msgtype=response",
+        ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<"), _urn(F.col("first_name"), "response"), F.lit(">")))), ("WARC-Profile", F.when(revisit, PROFILE)), type_="application/http; msgtype=response",
     )
     along = ("WARC-Concurrent-To", F.concat(F.lit("<"), response, F.lit(">")))
     request = _header(F.lit("request"), _urn(F.col("name"), "request"), F.concat(F.lit("GET "), F.col("url"), F.lit(f" HTTP/1.1{CRLF * 2}")), target, along, type_="application/http; msgtype=request")
-    said = F.concat_ws("", F.concat(F.lit("page_id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.when(revisit, F.concat(F.lit("refers_to: "), F.col("first.page_id").cast("string"), F.lit(CRLF))))
+    said = F.concat_ws("", F.concat(F.lit("page_id: "), F.col("page_id").cast("string"), F.lit(CRLF)), F.when(revisit, F.concat(F.lit("refers_to: "), F.col("first_id").cast("string"), F.lit(CRLF))))
     metadata = _header(F.lit("metadata"), _urn(F.col("name"), "metadata"), said, target, along, type_="application/warc-fields")
     out = rows.select(F.concat_ws(CRLF * 2, main, request, metadata).alias("value"))
-    out.write.option("compression", "gzip").text(path, lineSep=CRLF * 2)
+    # A reader holds a file, so files are bounded.
+    out.write.option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES * (n or 1) // max(1, size or 1))).text(path, lineSep=CRLF * 2)
 
 
 def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -146,8 +154,8 @@ def _typed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 def captures(records: DataFrame) -> DataFrame:
     """records -> one row per capture: capture_id and the structs request, main (response or revisit) and metadata; null where one is missing.
 
-    Request and metadata join the record they are concurrent to; two that name one record leave the one with the smaller record id.
-    A capture is three records, so no group is large.
+    Request and metadata join the record they are concurrent to; two that name one record leave the one with the smaller record id, and so do repeated records.
+    A capture is three records, so no group is large. An empty table gives none; further columns go along in the structs.
     """
     key = F.when(F.col("kind").isin("request", "metadata"), F.coalesce("concurrent_to", "record_id")).otherwise(F.col("record_id"))
     whole = F.struct(*records.columns)
