@@ -5,9 +5,9 @@ Grammar of a formatted conversation (control strings are tokens only where no es
     conversation := "<s>" turn* "</s>"
     turn         := "[INST]" role "\n" text "[/INST]"
 
-The parser reads from left to right: a backslash makes the next character literal, a control string is a token, anything else
-is text. Text is rendered as it is, parsed again and compared with its source; only when they differ are its backslashes
-and control strings escaped, and the comparison is repeated until they are identical.
+The parser reads from left to right: a backslash makes the next character literal, a control string is a token, the first line feed of a turn
+that is not escaped ends its role, anything else is text. Role and text are rendered as they are, parsed again and compared with their source; only when they
+differ are backslashes and control strings (and line feeds in the role) escaped, and the comparison is repeated until they are identical.
 """
 
 from __future__ import annotations
@@ -33,12 +33,14 @@ class Malformed(ValueError):
 
 
 def tokens(text: str) -> Iterator[tuple[str, str, int]]:
-    """(kind, value, place): kind is a control string or "text"."""
+    """(kind, value, place): kind is a control string, "literal" for an escaped character, or "text"."""
     for m in _TOKEN.finditer(text):
         if m[1]:
             yield m[1], m[1], m.start()
+        elif m[2] is not None:
+            yield "literal", m[2], m.start()
         else:
-            yield "text", m[2] if m[2] is not None else m[3], m.start()
+            yield "text", m[3], m.start()
 
 
 class Parser:
@@ -49,22 +51,24 @@ class Parser:
 
     def feed(self, part: str) -> Iterator[tuple[str, str, int, int]]:
         buf: list[str] = []
+        role: str | None = None
         begun = 0
         for kind, value, at in tokens(part):
             if self.state == "start" and kind == BOS:
                 self.state = "between"
             elif self.state == "between" and kind == OPEN:
-                self.state, buf, begun = "turn", [], at + len(OPEN)
+                self.state, buf, role, begun = "turn", [], None, at + len(OPEN)
             elif self.state == "between" and kind == EOS:
                 self.state = "done"
-            elif self.state == "turn" and kind == "text":
+            elif self.state == "turn" and kind in ("text", "literal"):
+                if role is None and kind == "text" and "\n" in value:
+                    head, _, value = value.partition("\n")
+                    role, buf, begun = "".join([*buf, head]), [], at + len(head) + 1
                 buf.append(value)
             elif self.state == "turn" and kind == CLOSE:
-                role, line, text = "".join(buf).partition("\n")
-                if not line:
+                if role is None:
                     raise Malformed(f"turn without a role line at {begun}")
-                # The role holds no line break, so the first raw one ends the role line.
-                yield role, text, part.index("\n", begun) + 1, at
+                yield role, "".join(buf), begun, at
                 self.state = "between"
             else:
                 raise Malformed(f"{kind!r} at {at} in state {self.state}")
@@ -85,20 +89,21 @@ def escape(text: str) -> str:
     return _RISKY.sub(lambda m: "\\" + m[0], text)
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace("\n", "\\\n")
+
+
 def unescape(text: str) -> str:
     return "".join(value for _, value, _ in tokens(text))
 
 
-def render_turn(role: str, text: str) -> tuple[str, bool]:
-    """A turn as it goes into the conversation, and whether anything had to be escaped.
-
-    A role is one line: line breaks in it become spaces.
-    """
-    for role_out, text_out, escaped in ((role, text, False), (role, escape(text), True), (escape(role), escape(text), True)):
+def render_turn(role: str, text: str) -> tuple[str, int, bool]:
+    """A turn as it goes into the conversation, where its text begins in it, and whether anything had to be escaped."""
+    for role_out, text_out, escaped in ((role, text, False), (role, escape(text), True), (escape_role(role), escape(text), True)):
         turn = f"{OPEN}{role_out}\n{text_out}{CLOSE}"
         try:
             if parse(f"{BOS}{turn}{EOS}") == [(role, text)]:
-                return turn, escaped
+                return turn, len(OPEN) + len(role_out) + 1, escaped
         except Malformed:
             pass
     raise Malformed(f"no rendering of {role!r} parses back")
@@ -111,8 +116,9 @@ def format_conversations(turns: DataFrame, learn_from: tuple[str, ...] = ("assis
     """turns (conv_id, turn, role, text) -> conv_id, part, formatted, n_turns, n_escaped, loss (spans of formatted to learn from).
 
     Turns go by turn, then role, then text; null turns last. A null text or role is empty; a null conv_id is a conversation of
-    its own. Repeated rows are repeated turns. A conversation is one part unless it is very long: parts end between turns and
-    follow each other, and only one part is held in memory. An empty table gives no rows.
+    its own. Repeated rows are repeated turns, and turns that tie in all of these are equal. A conversation is one part unless it is very long: parts end between turns and
+    follow each other, and only one part is held in memory. One conversation is the work of one task, however long. An empty table gives no rows; other columns of turns
+    are not read, whatever their names.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
@@ -134,10 +140,9 @@ def format_conversations(turns: DataFrame, learn_from: tuple[str, ...] = ("assis
                     if conv is not None:
                         close(True)
                     conv, part, buf, length = (None if null else int(c),), 0, [BOS], len(BOS)
-                role = re.sub(r"[\r\n]+", " ", role)
-                turn, was = render_turn(role, text)
+                turn, begins, was = render_turn(role, text)
                 if role in learn_from:
-                    spans.append({"start": length + turn.index("\n") + 1, "end": length + len(turn) - len(CLOSE)})
+                    spans.append({"start": length + begins, "end": length + len(turn) - len(CLOSE)})
                 buf.append(turn)
                 length += len(turn)
                 n, escaped = n + 1, escaped + was
@@ -206,10 +211,11 @@ def op3_chat_format(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-e as (select *, case when regexp_matches(text, '\\|<s>|</s>|\[INST\]|\[/INST\]') then regexp_replace(text, '(\\|<s>|</s>|\[INST\]|\[/INST\])', '\\\1', 'g') else text end as esc from t)
+e as (select *, case when regexp_matches(text, '\\|<s>|</s>|\[INST\]|\[/INST\]') then regexp_replace(text, '(\\|<s>|</s>|\[INST\]|\[/INST\])', '\\\1', 'g') else text end as esc,
+  case when regexp_matches(role, '\\|\n|<s>|</s>|\[INST\]|\[/INST\]') then regexp_replace(role, '(\\|\n|<s>|</s>|\[INST\]|\[/INST\])', '\\\1', 'g') else role end as erole from t)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum(length(role) + length(esc) + 14) + 7 as bigint) as formatted_chars, cast(sum(cast(esc <> text as integer)) as bigint) as n_escaped
+  cast(sum(length(erole) + length(esc) + 14) + 7 as bigint) as formatted_chars, cast(sum(cast(esc <> text or erole <> role as integer)) as bigint) as n_escaped
 from e group by conv_id
 """
