@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import small_side
+from tidewatch.llm.common import small_side, stored
 
 #: Largest mean inverted at once; a larger mean is a sum of independent draws of equal mean, which is Poisson again.
 STEP = 16.0
@@ -41,7 +41,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, size:
             raise ValueError("weights must be finite and not negative")
         table = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else None
         raw = F.coalesce(F.try_element_at(table, F.col("__tw_source")), F.lit(0.0)) if weights else F.lit(0.0)
-    found = found.withColumn("__tw_raw", raw)
+    found = stored(found.withColumn("__tw_raw", raw), "sources")  # one row a source; the documents are read once for it
     every, n = found.agg(F.sum("__tw_raw"), F.sum("__tw_n")).first()
     goal = float(n or 0) if size is None else float(size)
     rate = F.coalesce(F.try_divide(F.col("__tw_raw") * F.lit(goal), F.lit(float(every or 0)) * F.col("__tw_n")), F.lit(0.0))
@@ -55,7 +55,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     a source of its own. size: documents to expect in the output, by default as many as the input has. The rate of a source is
     size * share / n_docs; the count of a row inverts the Poisson distribution of that mean at a uniform hashed from seed and doc_id
     (for a null doc_id, from the text), so equal rows get equal counts and a rerun gives the same rows.
-    Returns the columns of docs, mix_copy (1, 2, ...) and mix_key, the hashed position; rows are dealt and sorted by mix_key.
+    Returns the columns of docs, mix_copy (1, 2, ...) and mix_key, the hashed position; rows are dealt and sorted by mix_key. Copies of rows with one doc_id have the same
+    mix_keys, so rows that repeat a doc_id tie and lie side by side in any order. Texts are carried along whole, however long.
     An empty table gives none. Names of docs that start with __tw_ or equal mix_copy or mix_key are not allowed.
     """
     table = small_side(rates(docs, weights, alpha, size))
@@ -70,6 +71,15 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     return out.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
+def placed(docs: DataFrame, seed: int = 1234) -> DataFrame:
+    """docs + mix_key: a hashed position for each row, apart for copies of a row. Rows are numbered as they are read, so docs must be a stored table.
+
+    For what follows mix() when mix_key has been left out: rows sorted by it are shuffled again, copies and neighbours apart.
+    """
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.monotonically_increasing_id().cast("string")).cast("binary")), 1, 15), 16, 10)
+    return docs.withColumn("mix_key", place.cast("long"))
+
+
 #: DuckDB: the same rates and counts by a table of CDF values for each source.
 SQL = f"""
 with d as (select *, coalesce(cast(doc_id as varchar), 'text:' || md5(coalesce(text, ''))) as k from documents),
