@@ -37,7 +37,7 @@ END_ID = 2
 SHARD_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
 #: Bytes, as estimated, that a worker spends on remembered words, in each of two generations, before it forgets the older; a longer word than
 #: WORD characters is not remembered.
-MEMORY, WORD = 24 << 20, 64
+MEMORY, WORD = 48 << 20, 64
 #: What a remembered word takes besides its characters and ids: the objects and the place in the table.
 _ENTRY = 200
 #: Bytes of text encoded at a time; a longer text goes alone.
@@ -254,8 +254,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = default_tokenizer, end_id: int = END_ID) -> None:
-    """Writes the ids of docs (doc_id, text) under path, in ascending doc_id order (null first; equal doc_ids by number of ids, then by ids).
+def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = default_tokenizer, end_id: int = END_ID, place: str | None = None) -> None:
+    """Writes the ids of docs (doc_id, text) under path, in ascending order of the long column `place`, by default of doc_id (null first; equal ones by number of ids, then by ids).
 
     A null or empty text has the end id only. An empty table gives no shard. tokenizer: gives the file's place, on each executor.
     """
@@ -266,6 +266,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
 
     width = 2 if max(Tokenizer.from_file(tokenizer()).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
+    names = ["doc_id", "place", "ids", "counts"]
+
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(keep=_forget)
         enc, seen = encoder(tokenizer(), end_id), np.zeros(0, dtype="<i8")
@@ -281,13 +283,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
                     seen[: len(c)] += c
                     offsets = np.concatenate([[0], ends * width]).astype("<i4")
                     packed = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).take(pa.array(which)), packed, pa.nulls(len(which), pa.binary())], ["doc_id", "ids", "counts"])
+                    named = [batch.column(k).slice(at, to - at).take(pa.array(which)) for k in (0, 2)]
+                    yield pa.RecordBatch.from_arrays([*named, packed, pa.nulls(len(which), pa.binary())], names)
                 at = to
         if len(seen):  # a last row holds how often each id occurs in the partition
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = stored(rows.mapInArrow(tidy(ids_of), "doc_id long, ids binary, counts binary"), "token-ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(0) if place is None else F.col(place)).cast("long").alias("place"))
+    held = stored(rows.mapInArrow(tidy(ids_of), "doc_id long, place long, ids binary, counts binary"), "token-ids")
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -304,9 +307,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
     rank[order] = np.arange(len(order))
     sent = spark.sparkContext.broadcast(rank)
 
-    rows = held.where("ids is not null").select("doc_id", "ids")
+    rows = held.where("ids is not null").select("doc_id", "place", "ids")
     shards = partitions((rows.agg(F.sum(F.length("ids"))).first()[0] or 0) * 3 // 4, SHARD_BYTES)
-    order_by = ["doc_id", F.length("ids"), F.xxhash64("ids")]
+    order_by = ["place" if place else "doc_id", F.length("ids"), F.xxhash64("ids")]
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release()
@@ -368,10 +371,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * with_ids))
 
 
-def tokens(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+def tokens(docs: DataFrame, with_ids: bool = False, place: str | None = None) -> DataFrame:
     """docs through the files: write_tokens to a new folder of the shared one, and read_tokens from it."""
     path = new_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path)
+    write_tokens(docs, path, place=place)
     return read_tokens(docs.sparkSession, path, with_ids)
 
 
