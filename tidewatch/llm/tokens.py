@@ -35,43 +35,65 @@ DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 END_ID = 2
 #: Bytes of a shard, and ids of a block, to aim for. A longer document is a block of its own.
 SHARD_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
-#: Bytes, as estimated, that a worker spends on remembered words, in each of two generations, before it forgets the older; a longer word than
-#: WORD characters is not remembered.
-MEMORY, WORD = 48 << 20, 64
+#: Bytes, as estimated, that a worker spends on remembered words, in each of two generations, before it forgets the older at the end of a slice; a longer word
+#: than WORD characters is not remembered.
+MEMORY, WORD = 32 << 20, 64
 #: What a remembered word takes besides its characters and ids: the objects and the place in the table.
 _ENTRY = 200
 #: Bytes of text encoded at a time; a longer text goes alone.
 SLICE_BYTES = 4 << 20
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
-_MASKS = np.arange(4)[None, :] < np.arange(5)[:, None]
 
 
 def _padded(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Control bytes of each document, and the place of each id among the two-bit codes."""
+    kind = np.int32 if counts.sum() < 1 << 30 else np.int64
     four = -(-counts // 4)
     ends = np.cumsum(counts)
-    return four, np.repeat((np.cumsum(four) - four) * 4 - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+    place = np.repeat(((np.cumsum(four) - four) * 4 - (ends - counts)).astype(kind), counts)
+    place += np.arange(len(place), dtype=kind)
+    return four, place
+
+
+def _starts(size: np.ndarray) -> np.ndarray:
+    """Where each value's bytes begin."""
+    ends = np.cumsum(size, dtype=np.int32 if len(size) < 1 << 28 else np.int64)
+    ends -= size
+    return ends
 
 
 def encode(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit values, counts[i] of them in document i."""
     v = np.ascontiguousarray(values, dtype="<u4")
-    size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    size = np.ones(len(v), dtype=np.uint8)
+    longer = [np.flatnonzero(v > (1 << 8 * k) - 1) for k in (1, 2, 3)]
+    for at in longer:
+        size[at] += 1
     four, place = _padded(counts)
     codes = np.zeros(int(four.sum()) * 4, dtype=np.uint8)
     codes[place] = size - 1
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[_MASKS[size]].tobytes()
+    start = _starts(size)
+    data = np.empty(int(start[-1]) + int(size[-1]) if len(v) else 0, dtype=np.uint8)
+    data[start] = v.astype(np.uint8)
+    for k, at in enumerate(longer, 1):
+        data[start[at] + k] = v[at] >> 8 * k
+    return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     """The values of all documents again: lengths by table from the control bytes, then bytes to their places."""
     size = _LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[_padded(counts)[1]]
-    out = np.zeros((len(size), 4), dtype=np.uint8)
-    out[_MASKS[size]] = np.frombuffer(data, dtype=np.uint8)
-    return out.reshape(-1).view("<u4")
+    start, raw = _starts(size), np.frombuffer(data, dtype=np.uint8)
+    out = raw[start].astype("<u4")
+    for k in (1, 2, 3):
+        at = np.flatnonzero(size > k)
+        if not len(at):
+            break
+        out[at] |= raw[start[at] + k].astype("<u4") << np.uint32(8 * k)
+    return out
 
 
 def write_block(doc_ids: list[int | None], counts: np.ndarray, control: bytes, data: bytes) -> bytes:
@@ -188,17 +210,19 @@ class Encoder:
         marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts, "\n", " \n"), f" {_END}", "")
         lists = pc.split_pattern(marked, " ")
         coded = lists.flatten().dictionary_encode()
-        found = []
-        for w in coded.dictionary.to_numpy(zero_copy_only=False):
-            ids = self.now.get(w)
-            if ids is None:
-                ids = self.old.get(w) or self._word(w)
-                if len(w) <= WORD:
-                    self.now[w] = ids
-                    self.taken += _ENTRY + len(w) + len(ids)
-                    if self.taken > MEMORY:
-                        self.now, self.old, self.taken = {}, self.now, 0
-            found.append(ids)
+        words = coded.dictionary.to_pylist()
+        known, old, new = self.now.get, self.old.get, self._word
+        found = [known(w) for w in words]
+        fresh = {}
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            w = words[k]
+            found[k] = ids = old(w) or new(w)
+            if len(w) <= WORD:
+                fresh[w] = ids
+        self.now.update(fresh)
+        self.taken += sum(map(len, fresh)) + sum(map(len, fresh.values())) + _ENTRY * len(fresh)
+        if self.taken > MEMORY:
+            self.now, self.old, self.taken = {}, self.now, 0
         codes = coded.indices.to_numpy()
         # A text holds under 2^31 bytes and an id takes one at least, so 32 bits hold every place.
         size = np.array([len(x) for x in found], dtype=np.int32) // 4
