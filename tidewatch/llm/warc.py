@@ -56,9 +56,9 @@ def write_warc(pages: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
     name = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest", F.col("row").cast("string"))
     narrow = rows.select("row", "page_id", "digest", "bytes", F.struct(F.col("page_id").isNull().alias("null"), "page_id", "row", name.alias("name")).alias("who"))
-    # Only digests that occur twice take part, and of their pages only numbers and names.
+    # Only digests that occur twice take part, and of their pages only numbers and names. They are stored, so that a join too large to broadcast can split a frequent one.
     twice = narrow.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("who").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    again = narrow.join(small_side(twice), F.col("digest") == F.col("d")).where(F.col("first.row") != F.col("row")).select(F.col("row").alias("r"), F.col("first.page_id").alias("first_id"), F.col("first.name").alias("first_name"))
+    again = narrow.join(small_side(stored(twice, "digests")), F.col("digest") == F.col("d")).where(F.col("first.row") != F.col("row")).select(F.col("row").alias("r"), F.col("first.page_id").alias("first_id"), F.col("first.name").alias("first_name"))
     n, size = narrow.agg(F.count(F.lit(1)), F.sum(F.col("bytes").cast("long") + 1000)).first()
     rows = rows.withColumn("name", name).join(small_side(stored(again, "revisits")), F.col("row") == F.col("r"), "left")
     revisit = F.col("r").isNotNull()
