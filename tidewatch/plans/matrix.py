@@ -12,13 +12,17 @@ from tidewatch.sources.shared import stored
 from tidewatch.sources.transactions import save_table, txn
 
 #: The features of the matrix, in this order.
-FEATURES = """amount_log amount_pct_in_currency amount_near_threshold amount_above_threshold is_round_100 is_round_1000 is_cross_border is_currency_mismatch hour is_night day_of_week is_weekend
-payment_type_code pay_currency_code rec_currency_code sender_loc_code receiver_loc_code sender_txn_count sender_median_amount sender_mean_amount sender_std_amount sender_max_amount sender_n_receivers
-sender_active_days sender_txn_per_active_day sender_share_above_threshold receiver_txn_count receiver_median_amount receiver_n_senders amount_to_sender_median amount_to_receiver_median
-amount_zscore_sender amount_to_sender_max vel_count_1h vel_count_6h vel_count_24h vel_count_168h vel_amount_sum_1h vel_amount_sum_6h vel_amount_sum_24h vel_amount_sum_168h
-vel_near_threshold_count_24h vel_near_threshold_count_168h vel_amount_24h_to_median pair_count pair_amount_sum pair_amount_mean is_new_pair""".split()
-GRAPH_FEATURES = """g_out_degree g_in_degree g_total_degree g_degree_ratio g_out_amount_sum g_in_amount_sum g_pagerank g_in_cycle g_core_component_size g_component_size
-g_nx_scc_size g_nx_component_size g_in_repeat_cycle g_is_mutual_pair g_receiver_in_cycle""".split()
+FEATURES = [
+    "amount_log", "amount_pct_in_currency", "amount_near_threshold", "amount_above_threshold", "is_round_100", "is_round_1000", "is_cross_border", "is_currency_mismatch", "hour", "is_night", "day_of_week", "is_weekend",
+    "payment_type_code", "pay_currency_code", "rec_currency_code", "sender_loc_code", "receiver_loc_code", "sender_txn_count", "sender_median_amount", "sender_mean_amount", "sender_std_amount", "sender_max_amount",
+    "sender_n_receivers", "sender_active_days", "sender_txn_per_active_day", "sender_share_above_threshold", "receiver_txn_count", "receiver_median_amount", "receiver_n_senders", "amount_to_sender_median",
+    "amount_to_receiver_median", "amount_zscore_sender", "amount_to_sender_max", "vel_count_1h", "vel_count_6h", "vel_count_24h", "vel_count_168h", "vel_amount_sum_1h", "vel_amount_sum_6h", "vel_amount_sum_24h",
+    "vel_amount_sum_168h", "vel_near_threshold_count_24h", "vel_near_threshold_count_168h", "vel_amount_24h_to_median", "pair_count", "pair_amount_sum", "pair_amount_mean", "is_new_pair",
+]
+GRAPH_FEATURES = [
+    "g_out_degree", "g_in_degree", "g_total_degree", "g_degree_ratio", "g_out_amount_sum", "g_in_amount_sum", "g_pagerank", "g_in_cycle", "g_core_component_size", "g_component_size", "g_nx_scc_size",
+    "g_nx_component_size", "g_in_repeat_cycle", "g_is_mutual_pair", "g_receiver_in_cycle",
+]
 
 
 def add_features(split: DataFrame, with_graph: bool = True, rulers_to: str | None = None, max_edges: int | None = None) -> DataFrame:

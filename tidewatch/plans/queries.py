@@ -15,7 +15,7 @@ from tidewatch.operators import features as f
 from tidewatch.operators import graph, lift, rules
 from tidewatch.plans import matrix as mx
 from tidewatch.sources.generator import N_TOTAL, TYPOLOGIES, generate
-from tidewatch.sources.shared import new_path, scratch, shared_dir, state, stored
+from tidewatch.sources.shared import exists, new_path, scratch, shared_dir, state, stored
 from tidewatch.sources.transactions import NAMES, RAW, append_csv, load_dataset, load_periods, sample_rows, save_table, txn, txn_large, write_report
 from tidewatch.streaming import alerts
 
@@ -739,7 +739,7 @@ def _made(c: str) -> str:
     return _MADE.get(c) or (f"ps1.{c}" if c.startswith("sender_") else f"pr1.{c}" if c.startswith("receiver_") else f"vel.{c}")
 
 
-_MXD = [c for c in mx.FEATURES if c == "amount_log" or "amount" in c and "threshold" not in c and "log" not in c or c in ("sender_txn_per_active_day", "sender_share_above_threshold", "amount_zscore_sender")]
+_MXD = [c for c in mx.FEATURES if ("amount" in c and "threshold" not in c) or c in ("sender_txn_per_active_day", "sender_share_above_threshold")]
 _MXL = [c for c in mx.FEATURES if c not in _MXD]
 _FULL = (
     _REC + "@txn, @split, " + _VSP + ", " + _PROF.replace("pr as (", "prr as (").replace("full join pr using", "full join prr using") + ", " + _PAIRS + ", " + _GRID + ", " + _CODED + ", " + _ACC + ", " + _APPLIED
@@ -782,7 +782,7 @@ _RULE_TABLES: dict[tuple, str] = {}
 def _rule_matrix(s, d) -> DataFrame:
     """What the rules read, a row per transaction; made once for a folder, as long as its tables stay as they are."""
     key = (s.sparkContext.applicationId, shared_dir(s), state(s, f"{d}/events.parquet"), state(s, f"{d}/nation.parquet"))
-    if key not in _RULE_TABLES:
+    if key not in _RULE_TABLES or not exists(s, _RULE_TABLES[key]):
         t = f.time_split(txn(s, d))
         with scratch() as keep:
             train = stored(t.where("period = 'train'"), "train")

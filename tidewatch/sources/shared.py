@@ -31,6 +31,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tidewatch/{tag}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def state(spark: SparkSession, path: str) -> tuple:
     """(path, length, time of change) of a table's files, in any store that Spark reaches."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

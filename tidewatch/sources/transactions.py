@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.calendar import add_time_features
+from tidewatch.sources.shared import exists
 
 #: The twelve columns of a raw transaction, in this order.
 RAW = [
@@ -43,7 +44,7 @@ def optimize_types(df: DataFrame) -> DataFrame:
 
 
 def prepare(raw: DataFrame) -> DataFrame:
-    """Raw -> prepared: txn_id, calendar columns, short names."""
+    """Raw -> prepared: txn_id, calendar columns, short names. txn_id numbers rows as they are read, so it is fixed once the table has been saved, as load_dataset does."""
     df = add_time_features(optimize_types(raw)).withColumnsRenamed(NAMES)
     return df.withColumn("txn_id", F.monotonically_increasing_id())
 
@@ -58,14 +59,9 @@ def load_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def load_dataset(spark: SparkSession, csv: str, cache: str, use_cache: bool = True, force: bool = False, nrows: int | None = None) -> DataFrame:
     """The prepared table, from the cache if it is there; a run over the first rows only is not cached."""
-    if use_cache and not force and nrows is None and _exists(spark, cache):
+    if use_cache and not force and nrows is None and exists(spark, cache):
         return load_table(spark, cache)
     df = prepare(read_raw_csv(spark, csv, nrows))
     if nrows is not None or not use_cache:
