@@ -109,8 +109,8 @@ def test_encoder_forgets(monkeypatch):
         (_, ids, ends), = enc.batch(pa.array(texts, pa.string()))
         assert [ids[s:e].tolist() for s, e in zip([0, *ends[:-1]], ends)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert not enc.now and not any(len(w) > tokens.WORD for w in enc.old)  # what one slice brought is the older generation now
-    enc.batch(pa.array(["a few words"], pa.string()))
-    assert len(enc.now) == 4 and enc.taken < 2_000
+    enc.batch(pa.array(["a few words, words."], pa.string()))
+    assert set(enc.now) == {"few", "words"} and enc.taken < 2_000
 
 
 def test_shards_by_place(spark):

@@ -37,7 +37,7 @@ END_ID = 2
 SHARD_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
 #: Bytes, as estimated, that a worker spends on remembered words, in each of two generations, before it forgets the older at the end of a slice; a longer word
 #: than WORD characters is not remembered.
-MEMORY, WORD = 32 << 20, 64
+MEMORY, WORD = 64 << 20, 64
 #: What a remembered word takes besides its characters and ids: the objects and the place in the table.
 _ENTRY = 200
 #: Bytes of text encoded at a time; a longer text goes alone.
@@ -132,6 +132,8 @@ _FIRST, _END = "\x02", "\x03"
 #: Byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_PLAIN))}
+#: ASCII punctuation, a run of which is one piece behind letters.
+_MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 #: Pieces of an ASCII word, as the byte-level splitter cuts them.
 _PIECE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+")
 
@@ -174,26 +176,35 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word behind a space; behind a line feed or the first mark, without one."""
+    def _word(self, word: str) -> tuple[bytes, bool]:
+        """Ids of a word behind a space; behind a line feed or the first mark, without one. And whether they are worth remembering: not those of a
+        word of letters with punctuation after it, whose letters are looked up by themselves."""
         if word.isalpha():
-            return self._pack("Ġ" + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE)))
+            return self._letters("Ġ", word), True
         mark = word[:1]
         if mark == _END:
-            return self.end
-        if mark == _FIRST:
-            text, before = word[1:], b""
-        elif mark == "\n":
-            text, before = word[1:], self.line
-        else:
-            text, before = " " + word, b""
-        if text.isascii():
-            if not text.isprintable():
-                return before + self.whole(text)
-            return before + b"".join([self._piece(p) for p in _PIECE.findall(text)])
-        if text.lstrip(" ").isalpha():
-            return before + self._pack(text.encode().decode("latin-1").translate(_BYTE))
-        return before + self.whole(text)
+            return self.end, False
+        text, before, space = (word[1:], self.line, "") if mark == "\n" else (word[1:], b"", "") if mark == _FIRST else (word, b"", "Ġ")
+        stem = text.rstrip(_MARKS)
+        tail = text[len(stem) :]
+        if stem.isalpha() and tail[:1] != "'":  # behind letters, an apostrophe may belong to them
+            if not space:
+                ids = self._letters("", stem)
+            else:
+                ids = self.now.get(stem) or self.old.get(stem)
+                if ids is None:
+                    ids = self._letters("Ġ", stem)
+                    if len(stem) <= WORD:
+                        self.now[stem] = ids
+                        self.taken += _ENTRY + len(stem) + len(ids)
+            return before + ids + (self._piece(tail) if tail else b""), False
+        text = " " + text if space else text
+        if text.isascii() and text.isprintable():
+            return before + b"".join([self._piece(p) for p in _PIECE.findall(text)]), True
+        return before + self.whole(text), True
+
+    def _letters(self, space: str, word: str) -> bytes:
+        return self._pack(space + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE)))
 
     def _pack(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
@@ -216,8 +227,11 @@ class Encoder:
         fresh = {}
         for k in [k for k, ids in enumerate(found) if ids is None]:
             w = words[k]
-            found[k] = ids = old(w) or new(w)
-            if len(w) <= WORD:
+            ids, keep = old(w), True
+            if ids is None:
+                ids, keep = new(w)
+            found[k] = ids
+            if keep and len(w) <= WORD:
                 fresh[w] = ids
         self.now.update(fresh)
         self.taken += sum(map(len, fresh)) + sum(map(len, fresh.values())) + _ENTRY * len(fresh)
