@@ -98,8 +98,10 @@ def test_pagerank_against_plain_rounds(spark):
     for _ in range(500):
         lost = sum(r for n, r in rank.items() if not out[n])
         rank = {n: 0.15 / len(nodes) + 0.85 * (sum(rank[a] * w / out[a] for (a, b), w in pairs.items() if b == n) + lost / len(nodes)) for n in nodes}
-    got = {int(r[0]): r[1] for r in graph.pagerank(e).collect()}
-    assert got.keys() == rank.keys() and all(abs(got[n] - rank[n]) < 1e-7 for n in nodes)
+    for one_task in (graph.ONE_TASK, 0):
+        got = {int(r[0]): r[1] for r in graph.pagerank(e, one_task=one_task).collect()}
+        assert got.keys() == rank.keys() and all(abs(got[n] - rank[n]) < 1e-7 for n in nodes)
+        assert sorted(graph.pagerank(e, norm="in", iterations=3, one_task=one_task).collect())[0]["g_pagerank"] == pytest.approx(sorted(graph.pagerank(e, norm="in", iterations=3).collect())[0]["g_pagerank"])
     assert graph.pagerank(e.limit(0)).count() == 0
 
 
@@ -198,3 +200,24 @@ def test_build_job(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out/matrix")
     assert out.count() == 2_500 and len(out.columns) == 63 + 3 and {r[0] for r in out.select("period").distinct().collect()} == {"train", "val", "test"}
     assert spark.read.parquet(f"{tmp_path}/out/rulers/accounts").count() > 0
+
+
+@pytest.mark.parametrize("one_task", [graph.ONE_TASK, 0, 30])
+def test_graph_rounds_and_one_task_agree(spark, one_task):
+    rng = random.Random(7)
+    pairs = sorted({(f"A{rng.randrange(50):02d}", f"A{rng.randrange(50):02d}") for _ in range(60)} | {("X", "Y"), ("Z", "Z")})
+    e = spark.createDataFrame([*pairs, pairs[0]], "sender string, receiver string")
+    left = set(pairs)
+    while True:
+        both = {a for a, _ in left} & {b for _, b in left}
+        less = {p for p in left if p[0] in both and p[1] in both}
+        if less == left:
+            break
+        left = less
+    assert {tuple(r) for r in graph.cyclic_core(e, one_task).collect()} == left
+    root = {a: a for p in pairs for a in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    sizes = Counter(root.values())
+    assert {tuple(r) for r in graph.component_sizes(e, one_task).collect()} == {(a, c, sizes[c]) for a, c in root.items()}

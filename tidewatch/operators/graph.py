@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,25 @@ from tidewatch.operators.components import components
 from tidewatch.sources.shared import discard, scratch, stored, stored_with
 
 
+#: A graph of so few edges, or what is left of a larger one, is finished by one task: rounds over it would cost more than they share out.
+ONE_TASK = 100_000
+
+
+def _numbered(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(accounts in order, number of each sender, number of each receiver)."""
+    codes, names = pd.factorize(pd.concat([df["sender"], df["receiver"]]), sort=True)
+    return np.asarray(names), codes[: len(df)], codes[len(df) :]
+
+
+def _in_one_task(edges: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    def all_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            yield run(pd.concat(parts, ignore_index=True))
+
+    return edges.coalesce(1).mapInPandas(all_rows, schema)
+
+
 def edge_list(df: DataFrame) -> DataFrame:
     """A row for each pair of sender and receiver; last_ts: the latest epoch, or date where rows have dates only."""
     last = next((c for c in ("epoch", "date") if c in df.columns), None)
@@ -43,13 +63,30 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
     return edges.select("sender", "receiver").join(back, (F.col("sender") == F.col("__s")) & (F.col("receiver") == F.col("__r")), "left_semi").withColumn("g_is_mutual_pair", F.lit(1))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 60, tolerance: float = 1e-8, norm: str = "out") -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 60, tolerance: float = 1e-8, norm: str = "out", one_task: int = ONE_TASK) -> DataFrame:
     """(account, g_pagerank), weights n_txn, uniform start, dangling mass spread evenly. tolerance 0: always `iterations` rounds.
 
     norm "out": a node shares its rank over what it sends. "in": each edge is divided by what its source receives, a variant kept for parity.
     """
-    w = edges.groupBy("sender", "receiver").agg(F.sum("n_txn").alias("w"))
+    w = stored(edges.groupBy("sender", "receiver").agg(F.sum("n_txn").alias("w")), "pagerank-weights")
     side = "sender" if norm == "out" else "receiver"
+
+    def rounds(df: pd.DataFrame) -> pd.DataFrame:
+        names, a, b = _numbered(df)
+        n, weight = len(names), df["w"].to_numpy(dtype=np.float64)
+        by = a if side == "sender" else b
+        total = np.bincount(by, weight, n)
+        share, rank = np.divide(weight, total[a], out=np.zeros(len(a)), where=total[a] > 0), np.full(n, 1.0 / n)
+        dangling = np.bincount(by, minlength=n) == 0
+        for _ in range(iterations):
+            new = (1 - damping) / n + damping * (np.bincount(b, share * rank[a], n) + rank[dangling].sum() / n)
+            moved, rank = np.abs(new - rank).sum(), new
+            if tolerance and moved < tolerance:
+                break
+        return pd.DataFrame({"account": names, "g_pagerank": rank})
+
+    if w.count() <= one_task:
+        return stored(_in_one_task(w, rounds, "account string, g_pagerank double"), "pagerank")
     total = w.groupBy(F.col(side).alias("t_account")).agg(F.sum("w").alias("total"))
     links = stored(w.join(total, F.col("sender") == F.col("t_account")).select("sender", "receiver", (F.col("w") / F.col("total")).alias("share")), "pagerank-links")
     nodes = w.select(F.col("sender").alias("account")).unionAll(w.select(F.col("receiver").alias("account"))).distinct()
@@ -72,14 +109,29 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 60, tole
     return now.select("account", F.col("rank").alias("g_pagerank"))
 
 
-def cyclic_core(edges: DataFrame) -> DataFrame:
+def cyclic_core(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """Edges left when accounts without an incoming or without an outgoing edge are peeled away, round by round, until none is.
 
     Holds all cycles, and the paths between cycles. Self-loops stay.
     """
+
+    def peel(df: pd.DataFrame) -> pd.DataFrame:
+        names, a, b = _numbered(df)
+        left = np.arange(len(a))
+        while True:
+            both = (np.bincount(a[left], minlength=len(names)) > 0) & (np.bincount(b[left], minlength=len(names)) > 0)
+            stay = both[a[left]] & both[b[left]]
+            if stay.all():
+                return df.iloc[left]
+            left = left[stay]
+
     now = stored(edges.select("sender", "receiver").distinct(), "core")
     n = now.count()
     while True:
+        if n <= one_task:
+            after = stored(_in_one_task(now, peel, "sender string, receiver string"), "core")
+            discard(now)
+            return after
         both = now.select(F.col("sender").alias("a")).intersect(now.select(F.col("receiver").alias("a")))
         left = now.join(both, F.col("sender") == F.col("a"), "left_semi").join(both, F.col("receiver") == F.col("a"), "left_semi")
         after = stored(left, "core")
@@ -94,9 +146,26 @@ def core_nodes(core: DataFrame) -> DataFrame:
     return core.select(F.col("sender").alias("account")).unionAll(core.select(F.col("receiver").alias("account"))).distinct()
 
 
-def component_sizes(edges: DataFrame) -> DataFrame:
+def component_sizes(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(account, component, size): weak components, named by their least account."""
-    ids = edges.select(F.col("sender").alias("a"), F.col("receiver").alias("b"))
+
+    def spread(df: pd.DataFrame) -> pd.DataFrame:
+        names, a, b = _numbered(df)
+        label = np.arange(len(names))
+        while True:  # names are in order, so the least number is the least name
+            was, low = label.copy(), np.minimum(label[a], label[b])
+            for end in (a, b):
+                np.minimum.at(label, label[end], low)
+                np.minimum.at(label, end, low)
+            label = label[label]
+            if np.array_equal(was, label):
+                break
+        return pd.DataFrame({"account": names, "component": names[label], "size": np.bincount(label, minlength=len(names))[label]})
+
+    pairs = stored(edges.where("sender is not null and receiver is not null").select("sender", "receiver").distinct(), "weak-edges")
+    if pairs.count() <= one_task:
+        return stored(_in_one_task(pairs, spread, "account string, component string, size long"), "weak")
+    ids = pairs.select(F.col("sender").alias("a"), F.col("receiver").alias("b"))
     comp = components(ids, "weak")
     lone = ids.where("a = b").select(F.col("a").alias("node")).distinct().join(comp.select("node"), "node", "left_anti")
     comp = comp.unionByName(lone.withColumn("component", F.col("node")))
@@ -104,10 +173,6 @@ def component_sizes(edges: DataFrame) -> DataFrame:
     return comp.join(sizes, F.col("component") == F.col("c")).select(F.col("node").alias("account"), "component", "size")
 
 
-#: Once so few edges are left, one task finds the strongly connected components of the rest.
-ONE_TASK = 100_000
-
-
 def _least_reaching(edges: DataFrame) -> DataFrame:
     """(account, mark): the least account with a path to it, or itself. One stored table a round; only marks that moved are passed on."""
     now = stored(core_nodes(edges).select("account", F.col("account").alias("mark"), F.lit(True).alias("moved")), "reach")
@@ -128,21 +193,16 @@ def strong_components(edges: DataFrame, max_edges: int | None = None, one_task:
     reach it in turn are its component. They leave, and so do edges between parts. Each round finds a component in each part, so the loop ends.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if not parts:
-            return
-        df = pd.concat(parts)
-        codes, names = pd.factorize(pd.concat([df["sender"], df["receiver"]]), sort=True)
-        a, b = codes[: len(df)], codes[len(df) :]
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        names, a, b = _numbered(df)
         out: list[list[int]] = [[] for _ in names]
         for x, y in zip(a, b, strict=True):
             out[x].append(y)
         found = _scc(out)
-        yield pd.DataFrame({"account": names[[v for c in found for v in c]], "component": names[[c[0] for c in found for _ in c]]})
+        return pd.DataFrame({"account": names[[v for c in found for v in c]], "component": names[[c[0] for c in found for _ in c]]})
 
     pairs = stored((edges if max_edges is None else top_edges(edges, max_edges)).select("sender", "receiver").distinct(), "scc-edges")
-    left = cyclic_core(pairs.where("sender <> receiver"))
+    left = cyclic_core(pairs.where("sender <> receiver"), one_task)
     found = None
     while left.count() > one_task:
         mark = _least_reaching(left)
@@ -154,10 +214,10 @@ def strong_components(edges: DataFrame, max_edges: int | None = None, one_task:
         done = stored(mark.join(back.select(F.col("account").alias("b"), F.col("mark").alias("m")), (F.col("account") == F.col("b")) & (F.col("mark") == F.col("m"))).select("account", F.col("mark").alias("component")), "scc")
         found = done if found is None else found.unionAll(done)
         rest = inner.join(done, F.col("sender") == F.col("account"), "left_anti").join(done, F.col("receiver") == F.col("account"), "left_anti")
-        before, left = left, cyclic_core(rest)
+        before, left = left, cyclic_core(rest, one_task)
         for table in (before, inner):
             discard(table)
-    last = left.coalesce(1).mapInPandas(run, "account string, component string")
+    last = _in_one_task(left, run, "account string, component string")
     found = stored(last if found is None else found.unionAll(last), "scc")
     sizes = found.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("n"))
     sizes = found.join(sizes, F.col("component") == F.col("c")).select(F.col("account").alias("a"), "n")
