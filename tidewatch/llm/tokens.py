@@ -41,7 +41,7 @@ MEMORY, WORD = 48 << 20, 64
 #: What a remembered word takes besides its characters and ids: the objects and the place in the table.
 _ENTRY = 200
 #: Bytes of text encoded at a time; a longer text goes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -220,8 +220,9 @@ class Encoder:
         """(ids of all texts in a row, each followed by the end id; where each text ends), for texts that _ODD does not match."""
         marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts, "\n", " \n"), f" {_END}", "")
         lists = pc.split_pattern(marked, " ")
-        coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        coded, n_words = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
+        del marked, lists
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         known, old, new = self.now.get, self.old.get, self._word
         found = [known(w) for w in words]
         fresh = {}
@@ -237,7 +238,6 @@ class Encoder:
         self.taken += sum(map(len, fresh)) + sum(map(len, fresh.values())) + _ENTRY * len(fresh)
         if self.taken > MEMORY:
             self.now, self.old, self.taken = {}, self.now, 0
-        codes = coded.indices.to_numpy()
         # A text holds under 2^31 bytes and an id takes one at least, so 32 bits hold every place.
         size = np.array([len(x) for x in found], dtype=np.int32) // 4
         start = np.cumsum(size, dtype=np.int32) - size
@@ -246,7 +246,7 @@ class Encoder:
         place = np.repeat(start[codes] - (ends - each), each)
         place += np.arange(len(place), dtype=np.int32)
         ids = np.frombuffer(b"".join(found), dtype="<u4")[place]
-        return ids, ends[np.cumsum(pc.list_value_length(lists).to_numpy()) - 1].astype(np.int64)
+        return ids, ends[np.cumsum(n_words) - 1].astype(np.int64)
 
     def batch(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """[(which rows, their ids in a row, their ends)] of non-null strings."""
