@@ -41,7 +41,7 @@ MEMORY, WORD = 48 << 20, 64
 #: What a remembered word takes besides its characters and ids: the objects and the place in the table.
 _ENTRY = 200
 #: Bytes of text encoded at a time; a longer text goes alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -223,14 +223,17 @@ class Encoder:
         coded, n_words = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
         del marked, lists
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known, old, new = self.now.get, self.old.get, self._word
+        known, old, new, tokenize = self.now.get, self.old.get, self._word, self.model.tokenize
         found = [known(w) for w in words]
         fresh = {}
         for k in [k for k, ids in enumerate(found) if ids is None]:
             w = words[k]
             ids, keep = old(w), True
             if ids is None:
-                ids, keep = new(w)
+                if w.isascii() and w.isalpha():  # most of them; what _word() says of these
+                    ids = array("I", [t.id for t in tokenize("Ġ" + w)]).tobytes()
+                else:
+                    ids, keep = new(w)
             found[k] = ids
             if keep and len(w) <= WORD:
                 fresh[w] = ids
@@ -320,7 +323,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] = defa
                     seen, c = (seen, c) if len(seen) >= len(c) else (c, seen)
                     seen[: len(c)] += c
                     offsets = np.concatenate([[0], ends * width]).astype("<i4")
-                    packed = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype(f"<u{width}").tobytes())])
+                    packed = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(f"<u{width}"))])
                     named = [batch.column(k).slice(at, to - at).take(pa.array(which)) for k in (0, 2)]
                     yield pa.RecordBatch.from_arrays([*named, packed, pa.nulls(len(which), pa.binary())], names)
                 at = to
