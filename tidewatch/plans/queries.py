@@ -573,9 +573,13 @@ def _(s, d):
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("null_share"), F.col(f"d_{c}").alias("n_distinct"), (F.col(f"d_{c}") <= 1).alias("is_constant")) for c in cols])))
 
 
-@query("corr_pairs_over_090", "@txn, " + _VTXN + ", " + _FLAGGED.replace("from txn", "from vel") + ", y as (" + _corr_rows("fl", _MATRIX_CORR) + "), x as (select a, b, corr from y where abs(corr) > 0.9)", "corr")
+#: Two of these say the same here: the day of the month and the time.
+_REDUNDANT = [*_MATRIX_CORR, "epoch", "day"]
+
+
+@query("corr_pairs_over_090", "@txn, " + _VTXN + ", " + _FLAGGED.replace("from txn", "from vel") + ", y as (" + _corr_rows("fl", _REDUNDANT) + "), x as (select a, b, corr from y where abs(corr) > 0.9)", "corr")
 def _(s, d):
-    return lift.correlations(_vel_frame(s, d), _MATRIX_CORR).where(F.abs("corr") > 0.9)
+    return lift.correlations(_vel_frame(s, d), _REDUNDANT).where(F.abs("corr") > 0.9)
 
 
 # --- graph --------------------------------------------------------------------------------------------------------------
