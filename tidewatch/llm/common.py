@@ -59,7 +59,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
 
 #: Bytes of an Arrow batch. Spark's own 64 MB is held by the JVM and by the worker, in each several times over.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
