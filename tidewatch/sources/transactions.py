@@ -21,7 +21,7 @@ RAW_SCHEMA = T.StructType([T.StructField(n, t) for n, t in RAW])
 NAMES = {"Sender_account": "sender", "Receiver_account": "receiver", "Amount": "amount", "Payment_currency": "pay_currency", "Received_currency": "rec_currency", "Sender_bank_location": "sender_loc", "Receiver_bank_location": "receiver_loc", "Payment_type": "payment_type", "Is_laundering": "is_laundering", "Laundering_type": "laundering_type"}
 
 
-def find_raw_csv(folder: str, variable: str = "SAML_D_CSV") -> str:
+def find_raw_csv(folder: str, variable: str = "TRANSACTIONS_CSV") -> str:
     """The file the environment variable names, else the largest *.csv in folder."""
     named = os.environ.get(variable)
     if named:
