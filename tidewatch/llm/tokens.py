@@ -37,11 +37,11 @@ END_ID = 2
 SHARD_BYTES, BLOCK_IDS = 32 << 20, 1 << 20
 #: Bytes, as estimated, that a worker spends on remembered words, in each of two generations, before it forgets the older at the end of a slice; a longer word
 #: than WORD characters is not remembered.
-MEMORY, WORD = 24 << 20, 64
+MEMORY, WORD = 40 << 20, 64
 #: What a remembered word takes besides its characters and ids: the objects and the place in the table.
 _ENTRY = 200
 #: Bytes of text encoded at a time; a longer text goes alone.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 4 << 20
 
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
