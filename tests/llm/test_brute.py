@@ -109,6 +109,24 @@ def test_vectors_over_many_blocks(spark, monkeypatch):
     assert embeddings.near_vectors(few(spark, rows, "vec_id long, embedding array<double>").limit(0)).count() == 0
 
 
+def test_vectors_of_many_blocks_are_not_shuffled_by_pairs(spark, monkeypatch):
+    """Without structure all pairs of blocks meet: four times the rows, shuffled bytes grow about as they do, also if blocks are sent in many waves."""
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "WAVE_BYTES", 30_000, raising=False)
+    monkeypatch.setattr(embeddings, "SAMPLE", (16, 48))
+    written = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    rng = np.random.default_rng(4)
+    took = []
+    for n in (150, 600):
+        x = rng.normal(size=(n, 64)).astype("f4")
+        x[-20:] = x[:20] * (1 + rng.normal(size=(20, 64)) * 0.01)
+        before = written()
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(few(spark, [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+        took.append(written() - before)
+        assert got == {i: (1, i) if i < 20 else (1, i - n + 20) if i >= n - 20 else (0, i) for i in range(n)}
+    assert took[1] < 6 * took[0]
+
+
 def test_block_pairs_grow_with_clustered_rows():
     """Vectors about centres that are far from each other: pairs of blocks that may hold a pair grow about as the rows."""
     counts = []
