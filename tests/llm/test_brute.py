@@ -86,6 +86,20 @@ def test_toxicity_of_repeated_and_odd_rows(spark):
 
 # --- near duplicates, embeddings ---
 
+def test_punctuation_after_known_letters_asks_nothing_of_the_model(monkeypatch):
+    import pyarrow as pa
+
+    enc, asked = tokens.Encoder(tokens.default_tokenizer(), 2), []
+    ids = lambda texts: [x for _, got, ends in enc.batch(pa.array(texts)) for x in np.split(got, ends)[:-1]]
+    ids(["I know lettres, été and été.%%% now"])
+    word = enc._word
+    monkeypatch.setattr(enc, "_word", lambda w: asked.append(w) or word(w))
+    texts = ["I know, lettres. été!! and,%%% été; now", "I know's été's l'été a-b. x1, —, ा. now"]
+    assert [x.tolist() for x in ids(texts[:1])] == [enc.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts[:1]]
+    assert all(w[0] in "\x02\x03" for w in asked)
+    assert [x.tolist() for x in ids(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_vectors_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 24)
     monkeypatch.setattr(embeddings, "SAMPLE", (16, 48))

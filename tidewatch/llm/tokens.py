@@ -150,6 +150,18 @@ def splits_by_words(settings: dict) -> bool:
     return held and all(splitter.get(k) == v for k, v in _SPLITTER.items()) and all((model.get(k) or None) == (v or None) for k, v in _MODEL.items())
 
 
+#: _BYTE as code points, by byte; a space parts words and stays.
+_SPELT = np.array([32 if b == 32 else _BYTE[b] for b in range(256)], dtype="<u4")
+
+
+def _spelt(words: list[str]) -> list[str]:
+    """Words without a space in the byte-level alphabet."""
+    if not words:
+        return []
+    text = " ".join(words)
+    return words if text.isascii() else _SPELT[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes().decode("utf-32-le").split(" ")
+
+
 class Encoder:
     """Ids of whole texts, the tokenizer being asked once for each word it has not met of late.
 
@@ -177,27 +189,16 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> tuple[bytes, bool]:
-        """Ids of a word behind a space; behind a line feed or the first mark, without one. And whether they are worth remembering: not those of a
-        word of letters with punctuation after it, whose letters are looked up by themselves."""
-        if word.isalpha():
-            return self._letters("Ġ", word), True
+        """Ids of a word behind a space that is not letters, or letters and punctuation; behind a line feed or the first mark, of any word, without a space. And
+        whether they are worth remembering."""
         mark = word[:1]
         if mark == _END:
             return self.end, False
         text, before, space = (word[1:], self.line, "") if mark == "\n" else (word[1:], b"", "") if mark == _FIRST else (word, b"", "Ġ")
         stem = text.rstrip(_MARKS)
         tail = text[len(stem) :]
-        if stem.isalpha() and tail[:1] != "'":  # behind letters, an apostrophe may belong to them
-            if not space:
-                ids = self._letters("", stem)
-            else:
-                ids = self.now.get(stem) or self.old.get(stem)
-                if ids is None:
-                    ids = self._letters("Ġ", stem)
-                    if len(stem) <= WORD:
-                        self.now[stem] = ids
-                        self.taken += _ENTRY + len(stem) + len(ids)
-            return before + ids + (self._piece(tail) if tail else b""), False
+        if not space and stem.isalpha() and tail[:1] != "'":
+            return before + self._letters("", stem) + (self._piece(tail) if tail else b""), False
         text = " " + text if space else text
         if text.isascii() and text.isprintable():
             return before + b"".join([self._piece(p) for p in _PIECE.findall(text)]), True
@@ -216,27 +217,58 @@ class Encoder:
             self.short[piece] = self._pack("Ġ" + piece[1:] if piece[0] == " " else piece)
         return self.short[piece]
 
+    def _stems(self, words: pa.Array) -> tuple[list[str], list[tuple[int, bytes]]]:
+        """The words, those of letters with punctuation after them without it; and for these, which they are and the ids of the punctuation."""
+        # No word holds a space, so all of them become strings at once.
+        apart = lambda x: pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x), " ")[0].as_py().split(" ")
+        stems = pc.ascii_rtrim(words, characters=_MARKS)
+        cut = np.flatnonzero(pc.not_equal(pc.binary_length(stems), pc.binary_length(words)).to_numpy(zero_copy_only=False))
+        keys, some = apart(words), pa.array(cut)
+        ends: dict[str, bytes] = {}
+        tails = []
+        for k, stem in zip(cut.tolist(), apart(stems.take(some)), strict=True) if len(cut) else ():
+            tail = keys[k][len(stem) :]
+            if stem.isalpha() and tail[0] != "'":  # behind letters, an apostrophe may belong to them
+                if tail not in ends:
+                    ends[tail] = self._piece(tail)
+                tails.append((k, ends[tail]))
+                keys[k] = stem
+        return keys, tails
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each followed by the end id; where each text ends), for texts that _ODD does not match."""
         marked = pc.binary_join_element_wise(_FIRST, pc.replace_substring(texts, "\n", " \n"), f" {_END}", "")
         lists = pc.split_pattern(marked, " ")
         coded, n_words = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
         del marked, lists
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
+        del coded
+        keys, tails = self._stems(distinct)
         known, old, new, tokenize = self.now.get, self.old.get, self._word, self.model.tokenize
-        found = [known(w) for w in words]
-        fresh = {}
-        for k in [k for k, ids in enumerate(found) if ids is None]:
-            w = words[k]
-            ids, keep = old(w), True
-            if ids is None:
-                if w.isascii() and w.isalpha():  # most of them; what _word() says of these
-                    ids = array("I", [t.id for t in tokenize("Ġ" + w)]).tobytes()
-                else:
-                    ids, keep = new(w)
-            found[k] = ids
-            if keep and len(w) <= WORD:
-                fresh[w] = ids
+        found = [known(w) for w in keys]
+        fresh: dict[str, bytes] = {}
+        once: dict[str, bytes] = {}  # what is not worth remembering
+        later = [k for k, ids in enumerate(found) if ids is None]
+        letters: dict[str, None] = {}
+        strange = []
+        for k, ids in zip(later, [old(keys[k]) for k in later], strict=True):
+            if ids is not None:
+                found[k] = fresh[keys[k]] = ids
+            elif keys[k].isalpha():
+                letters[keys[k]] = None
+                strange.append(k)
+            else:
+                ids, keep = new(keys[k])
+                found[k] = ids
+                if keep and len(keys[k]) <= WORD:
+                    fresh[keys[k]] = ids
+        for w, piece in zip(letters, _spelt([*letters]), strict=True):
+            (fresh if len(w) <= WORD else once)[w] = array("I", [t.id for t in tokenize("Ġ" + piece)]).tobytes()
+        for k in strange:
+            w = keys[k]
+            found[k] = fresh[w] if w in fresh else once[w]
+        for k, tail in tails:
+            found[k] += tail
         self.now.update(fresh)
         self.taken += sum(map(len, fresh)) + sum(map(len, fresh.values())) + _ENTRY * len(fresh)
         if self.taken > MEMORY:
