@@ -198,6 +198,19 @@ def test_leaks_against_all_windows(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_a_small_benchmark_is_one_file(spark, monkeypatch):
+    kept, stored = {}, decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, tag: kept.setdefault(tag, stored(df, tag)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(60)], "item_id long, text string")
+        got = decontaminate.leaks(few(spark, [(1, "a " + " ".join(f"w7x{k}" for k in range(9)))], "doc_id long, text string"), table).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 7)]
+    assert len(kept["items"].inputFiles()) == 1 and kept["items"].count() == 60
+
+
 def test_leak_candidates_are_few(spark):
     """Windows that are fingerprinted grow with the copies of items, not with documents times items."""
     counts = []

@@ -25,6 +25,8 @@ from tidewatch.llm.common import partitions, small_side, stored, words
 
 SIZE = 5
 RADIUS = 23
+#: Items of a file.
+ITEMS = 2_000
 _WIDTHS = [64 * (i + 1) // (RADIUS + 1) - 64 * i // (RADIUS + 1) for i in range(RADIUS + 1)]
 _STARTS = [sum(_WIDTHS[:i]) for i in range(RADIUS + 1)]
 
@@ -138,6 +140,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> Dat
     an empty table on either side gives no rows; other columns are not read, whatever their names.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    # As few files as the items need, whatever the shuffle's partitions: each file that an executor writes makes it start other processes.
+    items = items.repartition(partitions(benchmark.count(), ITEMS))
     items = stored(items.withColumn("k", F.least(F.lit(SIZE), F.size("w"))).withColumn("item", F.xxhash64("w")), "items")
     counts = dict(items.groupBy("k").agg(F.struct(F.count(F.lit(1)), F.max(F.size("w")))).collect())
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
